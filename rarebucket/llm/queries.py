@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarebucket.llm import mixing, packing
+from rarebucket.llm import jaccard_join, mixing, packing
 from rarebucket.llm.common import table
 
 
@@ -16,12 +16,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mix, "deal").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op10_packing": op10_packing,
 }
 
