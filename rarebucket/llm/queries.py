@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarebucket.llm import jaccard_join, mixing, packing
+from rarebucket.llm import jaccard_join, langid, mixing, nbsvm, packing
 from rarebucket.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_nbsvm": op8_nbsvm,
+    "op9_langid": op9_langid,
     "op10_packing": op10_packing,
 }
 
