@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarebucket.llm import jaccard_join, langid, mixing, nbsvm, packing
+from rarebucket.llm import chat, jaccard_join, langid, mixing, nbsvm, packing
 from rarebucket.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mix, "deal").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(chat.probe(spark))))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -34,6 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op6_chat": op6_chat,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_nbsvm": op8_nbsvm,
     "op9_langid": op9_langid,
@@ -85,3 +91,22 @@ SELECT doc_id, size, source_size, target, taken,
          END END, 6) AS position
 FROM k
 """
+
+SQL["op6_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) AS body,
+         CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15
+              ELSE 19 + length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) END AS marks
+  FROM c
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       (3 + sum(body + marks))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
