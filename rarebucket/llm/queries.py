@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rarebucket.llm import chat, jaccard_join, langid, mixing, nbsvm, packing
+from rarebucket.llm import chat, jaccard_join, langid, media, mixing, nbsvm, packing, url_filter
 from rarebucket.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mix, "deal").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspected(media.media_column(table(spark, sf_dir, "documents")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_conversations(turns.unionByName(chat.probe(spark))))
@@ -39,6 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_webp": op4_webp,
+    "op5_url_filter": op5_url_filter,
     "op6_chat": op6_chat,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_nbsvm": op8_nbsvm,
