@@ -18,15 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) does a local one serve.
+    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) does a
+    local one serve.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "rarebucket-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

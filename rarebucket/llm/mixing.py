@@ -129,24 +129,28 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total:
     """The mix itself, with the columns of ``docs``: a row per copy, in order of position.
 
     The copy at which a source reaches its target is cut after the words still wanted. ``n_chars``, if there is
-    such a column, follows the cut. Documents without words take no part.
+    such a column, follows the cut. Documents without words take no part. Rows that are equal in all columns (none may be a map) are
+    told apart by number, so each has its own copies.
     """
     columns = docs.columns
-    mark = F.xxhash64(F.col("text"))
-    plan = mixed_words(docs.withColumn("mark", mark), weights, total, cap, curves, keep=("mark",))
+    mark = F.xxhash64(*[F.col(c) for c in columns])
+    plan = mixed_words(docs.withColumn("own_mark", mark), weights, total, cap, curves, keep=("own_mark",))
     words = F.floor("target")
     copies = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1)))
-    plan = plan.filter("taken > 0").withColumn("copy", copies).withColumn("offset", F.col("offset") + F.col("copy") * F.col("source_size"))
+    plan = plan.filter("taken > 0").withColumn("equal", F.count("*").over(Window.partitionBy("doc_id", "source", "kept_own_mark")))
+    plan = plan.withColumn("copy", copies).withColumn("offset", F.col("offset") + F.col("copy") * F.col("source_size"))
     plan = plan.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("offset")))).filter("words > 0")
     plan = plan.withColumn("position", start_position(F.col("offset"), F.col("target"), F.col("rank"), curves))
-    # equal rows share one line of the plan; their copies are numbered, so the join is one to one
-    same = Window.partitionBy("doc_id", "source", "kept_mark", "copy").orderBy("offset")
-    plan = plan.withColumn("nth", F.row_number().over(same)).select(
-        F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("kept_mark").alias("plan_mark"), "copy", "nth", "position", "words", "size", "deal")
-    rows = docs.select(*[F.col(c).alias(f"own_{c}") for c in columns], mark.alias("own_mark"))
-    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_doc_id", "own_source", "own_mark").orderBy(F.lit(0))))
-    on = F.col("own_doc_id").eqNullSafe(F.col("plan_id")) & F.col("own_source").eqNullSafe(F.col("plan_source")) & (F.col("own_mark") == F.col("plan_mark")) & (F.col("own_nth") == F.col("nth"))
-    out = by_position(rows.join(plan, on), "deal", "copy")
+    plan = reliable(plan.select(F.col("doc_id").alias("plan_id"), F.col("kept_own_mark").alias("plan_mark"), "copy", "position", "words", "size", "deal", "equal"))
+    rows = docs.select(*[F.col(c).alias(f"own_{c}") for c in columns], mark.alias("mark"))
+    on = F.col("own_doc_id").eqNullSafe(F.col("plan_id")) & (F.col("mark") == F.col("plan_mark"))
+    out = rows.join(plan.filter("equal = 1"), on)
+    repeated = plan.filter("equal > 1")
+    if repeated.limit(1).count():  # one of the equal rows meets the lines of all of them
+        again = repeated.select("plan_id", "plan_mark").distinct()
+        once = rows.join(again, on).drop("plan_id", "plan_mark").dropDuplicates(["own_doc_id", "mark"])
+        out = out.unionByName(once.join(repeated, on))
+    out = by_position(out, "deal", "copy")
     cut = F.col("words") < F.col("size")
     text = F.when(cut, first_words(F.col("own_text"), F.col("words"))).otherwise(F.col("own_text"))
     shown = {c: F.col(f"own_{c}") for c in columns} | {"text": text}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rarebucket.llm import chat, jaccard_join, langid, media, mixing, nbsvm, packing, url_filter
 from rarebucket.llm.common import table
 
@@ -54,9 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nbsvm": op8_nbsvm,
     "op9_langid": op9_langid,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 SQL["op1_mixing"] = r"""
 WITH d AS (
