@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rarebucket.llm import chat, jaccard_join, langid, media, mixing, nbsvm, packing, url_filter
+from rarebucket.llm import chat, graph_dedup, jaccard_join, langid, media, mixing, nbsvm, packing, url_filter
 from rarebucket.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mix, "deal").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op2_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspected(media.media_column(table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_graph_dedup": op2_graph_dedup,
     "op4_webp": op4_webp,
     "op5_url_filter": op5_url_filter,
     "op6_chat": op6_chat,
