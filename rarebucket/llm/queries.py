@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rarebucket.llm import chat, graph_dedup, jaccard_join, langid, media, mixing, nbsvm, packing, url_filter
+from rarebucket.llm import chat, graph_dedup, jaccard_join, langid, lm_score, media, mixing, nbsvm, packing, url_filter
 from rarebucket.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspected(media.media_column(table(spark, sf_dir, "documents")))
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_graph_dedup": op2_graph_dedup,
+    "op3_stupid_backoff": op3_stupid_backoff,
     "op4_webp": op4_webp,
     "op5_url_filter": op5_url_filter,
     "op6_chat": op6_chat,
@@ -129,3 +134,31 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
        (3 + sum(body + marks))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+SQL["op3_stupid_backoff"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), i AS (
+  SELECT r, unnest(w) AS c, unnest(range(len(w))) AS pos FROM d
+), g AS (
+  SELECT r, pos, c, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM i WINDOW o AS (PARTITION BY r ORDER BY pos)
+), f AS (
+  SELECT *, count(*) OVER (PARTITION BY c) AS f1,
+         CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b, c) END AS f2,
+         CASE WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, c) END AS f3,
+         count(*) OVER () AS total
+  FROM g
+), h AS (
+  SELECT *, lag(f1) OVER o AS p1, lag(f2) OVER o AS p2 FROM f WINDOW o AS (PARTITION BY r ORDER BY pos)
+), s AS (
+  SELECT r, CASE WHEN f3 >= 2 THEN ln(f3 / p2)
+                 WHEN f2 >= 2 THEN ln(f2 / p1) + CASE WHEN a IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END
+                 ELSE ln(f1 / total) + ln(0.4::DOUBLE) * (CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN b IS NOT NULL THEN 1 ELSE 0 END) END AS v
+  FROM h
+), t AS (
+  SELECT r, sum(v) AS v FROM s GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log_score FROM d LEFT JOIN t ON d.r = t.r
+"""
