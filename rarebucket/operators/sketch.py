@@ -20,8 +20,11 @@ BUCKETS, K = 2048, 25
 
 
 def _keyed(df: DataFrame, key: str | Column, by: str | Column | None) -> DataFrame:
+    """(sketch_id, key) without null keys. Both are known not to be null, else joins on the bucket would push a null test of the
+    whole hash expression down, which is too large for one generated method."""
     ident = F.lit("all") if by is None else F.col(by) if isinstance(by, str) else by
-    return df.select(ident.cast("string").alias("sketch_id"), (F.col(key) if isinstance(key, str) else key).cast("long").alias("key")).filter("key IS NOT NULL")
+    rows = df.select(F.coalesce(ident.cast("string"), F.lit("")).alias("sketch_id"), (F.col(key) if isinstance(key, str) else key).cast("long").alias("key")).filter("key IS NOT NULL")
+    return rows.withColumn("key", F.coalesce("key", F.lit(0).cast("long")))
 
 
 def winners(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS) -> DataFrame:
