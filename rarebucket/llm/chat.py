@@ -51,9 +51,9 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     while reach < longest and state.filter("above IS NOT NULL").limit(1).count():
         hops.append(state.select("tree", "message", "above").filter("above IS NOT NULL"))
         far = state.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("above").alias("further"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        state = state.join(far, (F.col("tree") == F.col("t")) & (F.col("above") == F.col("m")), "left").select(
-            "tree", "message", F.col("further").alias("above"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))
-        state, reach = reliable(state), 2 * reach
+        moved = state.filter("above IS NOT NULL").join(far, (F.col("tree") == F.col("t")) & (F.col("above") == F.col("m"))).select(
+            "tree", "message", F.col("further").alias("above"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
+        state, reach = reliable(state.filter("above IS NULL").union(moved)), 2 * reach
     rooted = state.filter("above IS NULL")  # what still has an ancestor is on or under a cycle
     replied = own.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p IS NOT NULL").distinct()
     leaves = rooted.join(replied, (F.col("tree") == F.col("t")) & (F.col("message") == F.col("p")), "left_anti")
