@@ -14,10 +14,16 @@ MASK = (1 << 50) - 1
 WHOLE = (1 << 64) - 1
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """(i, key) with the key cut to 50 bits. A generator hands it on, so that later filters on the key aren't pushed into its formula,
+    which would multiply its size."""
+    return rows.select("i", F.explode(F.array(F.col("key").bitwiseAND(F.lit(MASK)))).alias("key"))
+
+
 def keys(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """(i, key): mixed counters of 50 bits."""
     rows = wrap_add(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("key")), "key", F.lit(signed(seed)))
-    return splitmix64(rows, "key").withColumn("key", F.col("key").bitwiseAND(F.lit(MASK)))
+    return settled(splitmix64(rows, "key"))
 
 
 def trial_keys(spark: SparkSession, n: int, trial: int) -> DataFrame:
@@ -28,7 +34,7 @@ def trial_keys(spark: SparkSession, n: int, trial: int) -> DataFrame:
 def distinct_keys(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """(i, key): keys that all differ, since an odd factor is invertible modulo 2^50."""
     rows = wrap_multiply(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("key")), "key", mix(seed) | 1)
-    return wrap_add(rows, "key", F.lit(signed(seed))).withColumn("key", F.col("key").bitwiseAND(F.lit(MASK)))
+    return settled(wrap_add(rows, "key", F.lit(signed(seed))))
 
 
 def trial_seed(root: int, power: int, trial: int) -> int:
