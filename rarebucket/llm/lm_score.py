@@ -4,41 +4,107 @@ A word that follows two others scores f(abc) / f(ab) if the trigram occurs at le
 does, else 0.4 * 0.4 f(c) / N; the first words of a text start at the order that they have. A document's score is the
 sum of the logarithms.
 
-1. Documents are dealt to chunks of about ``CHUNK`` bytes by hash. A chunk explodes its texts into n-grams and
-   collapses equal ones, so a frequent n-gram moves once per chunk, however many documents have it.
+1. Every ``CHUNK`` bytes of what a task reads are a chunk, bundled and compressed. A chunk explodes its texts into n-grams
+   and collapses equal ones, so a frequent n-gram moves once per chunk, however many documents have it.
 2. The count tables are partitioned by n-gram hash; a partition adds up the chunks' counts.
 3. The partition answers each chunk with the totals of the n-grams that it asked for, in their order; the chunk joins them to its
    exploded n-grams and sums per document.
 
-Words are lower-cased (A-Z) runs without white space and hashed to 64 bits. Null texts and texts without words score 0 over 0
+Words are lower-cased (A-Z) runs without white space. N-grams are hashed to so many bits that one in 2^24 meets another, 64 at most.
+Null texts and texts without words score 0 over 0
 words. Repeated rows count, and are scored, as often as they occur. An empty table gives an empty result. Other columns
 are not read. A chunk holds whole documents, so its memory is bounded by ``CHUNK`` or the longest document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import WORD, mixed
+from rarebucket.llm.common import WORD, mixed, small_batches, utf8
 from rarebucket.llm.shingles import words
 
 CHUNK, PART = 4 << 20, 1_500_000
 BACKOFF, LEAST, ORDER = 0.4, 2, 3
+#: Bits of a hash beyond those that number all n-grams.
+SPARE = 24
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def released(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte: all first bytes, then all second bytes, which compress well if the numbers are sorted or small."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Small numbers byte by byte: all first bytes, then all second bytes, compressed."""
+    return squeezed(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+    return np.ascontiguousarray(np.frombuffer(released(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
+BUNDLE = "chunk long, ids array<long>, sizes array<long>, texts binary"
+
+
+def bundled(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """A row per chunk of rows (doc_id, text)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held = TaskContext.get().partitionId() << 24, 0, []
+
+        def out() -> pa.RecordBatch:
+            ids = [x for k, _, _ in held for x in k]
+            sizes = np.concatenate([n for _, n, _ in held])
+            body = squeezed(b"".join(b for _, _, b in held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["chunk", "ids", "sizes", "texts"])
+
+        size = 0
+        for batch in batches:
+            keys, (body, ends) = batch.column(0).to_pylist(), utf8(batch.column(1))
+            a = 0
+            while a < len(keys):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + chunk_bytes - size, "right")) - 1)
+                held.append((keys[a:b], np.diff(ends[a : b + 1]), body[ends[a] : ends[b]].tobytes()))
+                size += int(ends[b] - ends[a])
+                a = b
+                if size >= chunk_bytes or a < len(keys):
+                    yield out()
+                    size, made = 0, made + 1
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, BUNDLE)
+
+
+def texts_of(rows: pa.Table) -> tuple[list, pa.Array]:
+    """The ids and texts of a chunk's only row."""
+    sizes = np.array(rows["sizes"][0].values.to_numpy(), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(released(rows["texts"][0].as_py()))])
+    return rows["ids"][0].values, texts
 
 
-def ngrams(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Per order the hash of the n-gram that ends at each word, the row of each word, and how many words of its text stand before it."""
     word, row = words(texts)
     at = np.arange(len(word)) - np.searchsorted(row, row)
@@ -50,14 +116,14 @@ def ngrams(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return out, row, at
 
 
-def asked(texts: pa.ChunkedArray, parts: int) -> list[tuple]:
-    """Per order: the distinct n-grams in order, where each partition's begin, and each word's place among them (-1: too few words)."""
+def asked(texts: pa.Array, parts: int, bits: int) -> list[tuple]:
+    """Per order: the distinct n-grams in order, how often each occurs, where each partition's begin, and each word's place among them (-1: too few words)."""
     grams, _, at = ngrams(texts)
-    width = np.uint64((1 << 64) // parts + 1)
+    width = np.uint64(-(-(1 << bits) // parts))
     out = []
     for n, gram in enumerate(grams, 1):
         whole = at >= n - 1
-        found, place, count = np.unique(gram[whole], return_inverse=True, return_counts=True)
+        found, place, count = np.unique(gram[whole] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
         bounds = np.searchsorted(found // width, np.arange(parts + 1).astype(np.uint64))
         where = np.full(len(gram), -1)
         where[whole] = place
@@ -72,18 +138,17 @@ ANSWER = "chunk long, n int, part int, counts binary"
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, part_grams: int = PART) -> DataFrame:
     """(doc_id, n_words, log_score) per row of ``docs``."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    size, total = own.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
-    size, total = size or 0, total or 0
-    chunks, parts = max(1, -(-size // chunk_bytes)), max(2, -(-total * ORDER // part_grams))
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    total = own.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    parts, bits = max(2, -(-total * ORDER // part_grams)), min(64, (total * ORDER).bit_length() + SPARE)
+    dealt = bundled(own, chunk_bytes)
 
     def ask(rows: pa.Table) -> pa.Table:
         chunk = rows["chunk"][0].as_py()
         out = []
-        for n, (found, count, bounds, _) in enumerate(asked(rows["text"], parts), 1):
+        for n, (found, count, bounds, _) in enumerate(asked(texts_of(rows)[1], parts, bits), 1):
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[p], bounds[p + 1]
-                out.append((chunk, n, p, planes(found[a:b]), planes(count[a:b])))
+                out.append((chunk, n, p, steps(found[a:b]), planes(count[a:b])))
         columns = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "n", "part", "grams", "counts"])
 
@@ -93,7 +158,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_by
         grams, counts = rows["grams"].to_pylist(), rows["counts"].to_pylist()
         for n in np.unique(orders).tolist():
             of = np.flatnonzero(orders == n).tolist()
-            asked_for = [from_planes(grams[i]) for i in of]
+            asked_for = [from_steps(grams[i]) for i in of]
             _, place = np.unique(np.concatenate(asked_for), return_inverse=True)
             sums = np.bincount(place, np.concatenate([from_planes(counts[i]) for i in of]).astype(np.float64)).astype(np.uint64)
             ends = np.cumsum([len(a) for a in asked_for])
@@ -102,8 +167,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_by
         return pa.table([rows["chunk"], rows["n"], rows["part"], pa.array(answers, pa.binary())], ["chunk", "n", "part", "counts"])
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = asked(rows["text"], parts)
-        _, row, at = ngrams(rows["text"])
+        ids, texts = texts_of(rows)
+        grams = asked(texts, parts, bits)
+        _, row, at = ngrams(texts)
         f = np.zeros((ORDER + 1, len(row)))
         order, part, counts = answers["n"].to_numpy(), answers["part"].to_numpy(), answers["counts"].to_pylist()
         for n, (found, _, _, where) in enumerate(grams, 1):
@@ -124,9 +190,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_by
             back[can & ~here] += 1
         last = np.isnan(value)
         value[last] = np.log(f[1][last] / total) + back[last] * np.log(BACKOFF)
-        n_words = np.bincount(row, minlength=len(rows)) if len(row) else np.zeros(len(rows), np.int64)
-        sums = np.bincount(row, value, minlength=len(rows)) if len(row) else np.zeros(len(rows))
-        return pa.table([rows["doc_id"], pa.array(n_words.astype(np.int64)), pa.array(sums.astype(np.float64))], ["doc_id", "n_words", "log_score"])
+        n_words = np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
+        sums = np.bincount(row, value, minlength=len(texts)) if len(row) else np.zeros(len(texts))
+        return pa.table([ids, pa.array(n_words.astype(np.int64)), pa.array(sums.astype(np.float64))], ["doc_id", "n_words", "log_score"])
 
     totals = dealt.groupBy("chunk").applyInArrow(ask, QUESTION).groupBy("part").applyInArrow(add, ANSWER)
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
