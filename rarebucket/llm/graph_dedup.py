@@ -3,8 +3,8 @@
 1. Vectors of equal label and dimension are comparable. Equal vectors collapse into one node that counts for several.
 2. Nodes are dealt to cluster shards of bounded size: an oversized shard is split by k-means over a bounded sample of it, and a
    node also goes (as a guest) to further clusters if it lies within the reach of a link of their border, up to
-   ``GUESTS``. A shard that k-means can't split, such as a dense ball, becomes groups dealt by hash and a shard for each
-   pair of groups, which loses nothing.
+   ``GUESTS``. Where a split would part linked vectors of the sample, as in a dense ball, the shard becomes groups dealt
+   by hash and a shard for each pair of groups, which loses nothing.
 3. In each shard every node gets the neighbours that robust pruning leaves of its nearest, and reverse links;
    the adjacency lists of all shards are united by node.
 4. In each shard, with the united lists, every node at home there is searched for greedily from the medoid, and
@@ -31,11 +31,13 @@ from rarebucket.llm.common import reliable
 from rarebucket.llm.components import components
 
 #: Nodes of a shard, vectors of a sample per split, clusters of a split, clusters that a node visits besides its own.
-SHARD, SAMPLE, FANOUT, GUESTS = 4096, 2000, 8, 2
+SHARD, SAMPLE, FANOUT, GUESTS = 16384, 2000, 32, 2
 #: Candidates and neighbours per node, slack of the pruning, width of the greedy search.
 NEAREST, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 24
 #: Splits in a row before the rest is dealt by hash.
 LEVELS = 16
+#: The share of a sample's links that a split may part.
+TORN = 0.01
 
 MEMBER = "shard string, side int, home boolean, node long, many long, vector array<double>"
 
@@ -60,34 +62,55 @@ def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def split(members: DataFrame, large: DataFrame, reach: float, shard: int) -> DataFrame:
-    """Members of the shards in ``large`` (shard, n) dealt to clusters of them."""
+def stays(x: np.ndarray, c: np.ndarray, reach: float, guests: int) -> list[np.ndarray]:
+    """The clusters of each vector: its own, then the nearest borders within reach."""
+    far = ((x[:, None, :] - c[None]) ** 2).sum(2) if len(x) * len(c) * x.shape[1] < 1 << 22 else np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1))
+    own = far.argmin(1)
+    apart = 2 * np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(2))[own]
+    border = np.where(apart > 0, (far - far[np.arange(len(x)), own][:, None]) / np.maximum(apart, 1e-12), np.inf)
+    border[np.arange(len(x)), own] = -1
+    order = np.argsort(border, axis=1, kind="stable")[:, : 1 + guests]
+    return [o[b[o] <= reach] for o, b in zip(order, border, strict=True)]
+
+
+def parted(x: np.ndarray, c: np.ndarray, reach: float) -> float:
+    """The share of the sample's links of which neither end visits the other's cluster; 0 if there are too few to tell."""
+    bound = 1 - reach * reach / 2
+    u, v = np.nonzero(np.triu(x @ x.T >= bound, 1))
+    if len(u) < 20:
+        return 0.0
+    where = np.zeros((len(x), len(c)), bool)
+    visits = stays(x, c, reach, GUESTS)
+    own = np.array([o[0] for o in visits])
+    for i, o in enumerate(visits):
+        where[i, o] = True
+    return 1 - float((where[u, own[v]] | where[v, own[u]]).mean())
+
+
+def split(members: DataFrame, large: DataFrame, reach: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the shards in ``large`` (shard, n) dealt to clusters of them, and the shards (shard, n) that k-means would tear."""
 
     def centres(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows.sort_values("node")["vector"].tolist())
-        k = int(min(FANOUT, len(x), -(-2 * rows["n"].iloc[0] // shard)))
-        return pd.DataFrame({"shard": pd.Series([rows["shard"].iloc[0]], dtype=object), "centres": [means(x, k).ravel().tolist()]})
+        k = int(min(FANOUT, len(x), -(-2 * (1 + GUESTS) * rows["n"].iloc[0] // shard)))  # room for guests
+        c = means(x, k)
+        flat = [] if k < 2 or parted(x, c, reach) > TORN else c.ravel().tolist()
+        return pd.DataFrame({"shard": pd.Series([rows["shard"].iloc[0]], dtype=object), "centres": [flat]})
 
     drawn = members.join(F.broadcast(large), "shard").filter(F.pmod(F.xxhash64("node"), "n") < SAMPLE)
-    found = drawn.select("shard", "node", "n", "vector").groupBy("shard").applyInPandas(centres, "shard string, centres array<double>")
+    found = reliable(drawn.select("shard", "node", "n", "vector").groupBy("shard").applyInPandas(centres, "shard string, centres array<double>"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, side, home, node, many, vector, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.array(vector)
-                c = np.array(flat).reshape(-1, len(x))
-                far = ((c - x) ** 2).sum(1)
-                own = int(far.argmin())
-                apart = 2 * np.sqrt(((c - c[own]) ** 2).sum(1))
-                border = np.where(apart > 0, (far - far[own]) / np.maximum(apart, 1e-12), np.inf)
-                border[own] = -1
-                for i in np.argsort(border, kind="stable")[: 1 + GUESTS].tolist():
-                    if border[i] <= reach:
-                        out.append((f"{name}/{i}", side, home and i == own, node, many, vector))
+                x = np.array([vector])
+                visits = stays(x, np.array(flat).reshape(-1, x.shape[1]), reach, GUESTS * home)[0]  # a guest brings no guests
+                out += [(f"{name}/{i}", side, home and i == visits[0], node, many, vector) for i in visits.tolist()]
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "side", "home", "node", "many", "vector"), r, strict=True)) for r in out], schema=MEMBER_ARROW)
 
-    return members.join(found, "shard").select("shard", "side", "home", "node", "many", "vector", "centres").mapInArrow(deal, MEMBER)
+    dealt = members.join(found.filter(F.size("centres") > 0), "shard").select("shard", "side", "home", "node", "many", "vector", "centres").mapInArrow(deal, MEMBER)
+    return dealt, large.join(found.filter(F.size("centres") > 0).select("shard"), "shard", "left_anti")
 
 
 MEMBER_ARROW = pa.schema([("shard", pa.string()), ("side", pa.int32()), ("home", pa.bool_()), ("node", pa.int64()), ("many", pa.int64()), ("vector", pa.list_(pa.float64()))])
@@ -106,7 +129,7 @@ def by_groups(members: DataFrame, large: DataFrame, shard: int) -> DataFrame:
 def shards(nodes: DataFrame, reach: float, shard: int) -> DataFrame:
     """Rows of MEMBER for all (place, node, many, vector)."""
     members = nodes.select(F.col("place").alias("shard"), F.lit(0).alias("side"), F.lit(True).alias("home"), "node", "many", "vector")
-    done, before = None, None
+    done = None
     for level in range(LEVELS):
         members = reliable(members)
         sizes = reliable(members.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("at_home")))
@@ -115,11 +138,11 @@ def shards(nodes: DataFrame, reach: float, shard: int) -> DataFrame:
         done = fits if done is None else done.union(fits)
         if not large.limit(1).count():
             return done
-        now = large.agg(F.sum("n")).first()[0]
-        if level == LEVELS - 1 or (before and now > 0.9 * before):  # guests outweigh what the split saves
+        if level == LEVELS - 1:
             return done.union(by_groups(members, large, shard))
-        before = now
-        members = split(members, large, reach, shard)
+        dealt, torn = split(members, large, reach, shard)
+        done = done.union(by_groups(members, torn, shard))
+        members = dealt
     return done
 
 
