@@ -1,11 +1,11 @@
 """Best-fit packing by sums of squares: whole documents into token sequences.
 
 Documents become tokens in one pass; of a document longer than a sequence only the first piece
-can be shorter than a sequence. Pieces are packed in groups of about ``group_docs`` documents,
+can be shorter than a sequence. Pieces are packed in groups of about ``group_docs`` documents at most,
 dealt by a hash of the document's id, so groups are alike whatever the sources, and a
 hot source or a run of copies doesn't meet in one task. Within a group each piece goes where
 the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open sequences that
-have g free places.
+have g free places. Pieces come by falling length, and one that fits an open sequence opens no new one.
 
 Null or empty texts are the end token alone. Repeated rows (equal ids included) are packed each on
 its own. An empty table gives an empty result. Columns other than the id and the text are not read.
@@ -69,8 +69,12 @@ def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id: st
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each item, taken in the order given; among equal choices the fuller sequence."""
+def sum_of_squares(lengths: list[int], capacity: int, fill: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each item, taken in the order given; among equal choices the fuller sequence.
+
+    With ``fill`` a new sequence opens only for an item that fits no open one, which suits items by falling length;
+    without, opening one is a choice like the others, which suits endless streams.
+    """
     open_by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     places, offsets, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
@@ -81,7 +85,7 @@ def sum_of_squares(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.nd
             after = gaps - n
             each = 1 - 2 * count[gaps] + np.where(after > 0, 2 * count[after] + 1, 0)
             k = int(each.argmin())
-            if each[k] <= change:
+            if fill or each[k] <= change:
                 best = int(gaps[k])
         if best == capacity:
             where, made = made, made + 1
@@ -109,6 +113,6 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
     return dealt.groupBy("group").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, group_docs: int = 16384, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, group_docs: int = 32768, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     groups = max(1, -(-docs.count() // group_docs))
     return pack(tokenized(docs, capacity, end_id, doc_id, text), groups, capacity)

@@ -258,15 +258,16 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(sequences) <= -(-sum(r.length for r in rows) // 1024) + 6
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 1024) + 6  # one for each group at most
     assert bag(packing.pack_documents(odd_documents(spark, 5), group_docs=10)) == sorted(map(repr, map(tuple, rows)))
 
 
-def test_sum_of_squares_choice():
+@pytest.mark.parametrize("fill", [False, True])
+def test_sum_of_squares_choice(fill):
     """Each item goes where the sum over gaps of squared counts is smallest."""
     random = np.random.default_rng(2)
     lengths = random.integers(1, 65, 400).tolist()
-    places, offsets = packing.sum_of_squares(lengths, 64)
+    places, offsets = packing.sum_of_squares(lengths, 64, fill)
     gap, count = {}, Counter()
     for n, where, offset in zip(lengths, places.tolist(), offsets.tolist(), strict=True):
         def total(g):
@@ -278,7 +279,8 @@ def test_sum_of_squares_choice():
             return sum(v * v for v in after.values())
         was = gap.get(where, 64)
         assert offset == 64 - was and was >= n
-        assert total(was) == min(total(g) for g in [64, *[g for g, v in count.items() if v and g >= n]])
+        open_ = [g for g, v in count.items() if v and g >= n]
+        assert total(was) == min(total(g) for g in (open_ if fill and open_ else [64, *open_]))
         if was != 64:
             count[was] -= 1
         gap[where] = was - n
