@@ -6,11 +6,12 @@ here puts shingles that many documents share last, so that common passages seldo
 prefix; how often a shingle occurs is counted over all documents.
 
 1. Equal sets collapse into a class, classes of equal size and prefix into a group; only groups are indexed.
-2. Neighbours in each posting list, and each group's first member with its others, are verified. The
+2. Each posting list and each group has a centre: the member with the largest share of common shingles, as the source of many
+   edited copies has. Pairs of a centre and a member that meet in a fair part of their lists are verified. The
    components of what holds are most of the result, and links inside them need no look any more.
 3. In lists and groups that still hold several components, all pairs across components that pass the
-   size and position filters are expanded to members and verified. So no pair within a component is made, and
-   no pair that could join two components is left out.
+   size filter and share enough of their prefixes are expanded to members and verified. So no pair within a component is
+   made, and no pair that could join two components is left out.
 
 Null texts and texts without words have an empty set and link with nothing. Texts of under five words are one
 shingle. Rows with equal ids are rows of their own; a null id is ignored when a component takes its smallest
@@ -72,7 +73,8 @@ def common_shingles(texts: DataFrame, size: int, least: int = 16) -> tuple[np.nd
 
 
 def prefixes(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row of (doc_id, mark, text): number of shingles, two fingerprints of the set, one of the prefix, and the prefix in order."""
+    """Per row of (doc_id, mark, text): number of shingles, two fingerprints of the set, one of the prefix, how common
+    its shingles are (thousandths of a class), and the prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,19 +93,33 @@ def prefixes(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray])
                 first = n // 5 + 1 if n else 0
                 order = np.argsort(level, kind="stable")[:first] if len(look) else np.arange(first)
                 prefix = s[order]
-                rows.append((n, *(int(mixed(x).sum()) if n else 0 for x in (s ^ np.uint64(0x51ED270B), s + np.uint64(0xB492B66F), prefix ^ np.uint64(0x2545F491)))))
+                rows.append((n, *(int(mixed(x).sum()) if n else 0 for x in (s ^ np.uint64(0x51ED270B), s + np.uint64(0xB492B66F), prefix ^ np.uint64(0x2545F491))), int(1000 * level.mean()) if n else 0))
                 tokens.append(prefix)
                 ends.append(ends[-1] + first)
             n, *prints = (np.array(x, np.uint64).view(np.int64) for x in zip(*rows, strict=True))
             flat = pa.array(np.concatenate(tokens).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "mark", "n", "set_a", "set_b", "lead", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *map(pa.array, prints), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "mark", "n", "set_a", "set_b", "lead", "weight", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n long, set_a long, set_b long, lead long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, set_a long, set_b long, lead long, weight long, prefix array<long>")
 
 
-def could_link(n: Column, m: Column, at: Column, to: Column) -> Column:
-    """Size and position filter for n <= m: 0.8 is out of reach if too few shingles follow the shared one."""
-    return (n * 5 >= m * 4) & ((F.lit(1) + F.least(n - at - 1, m - to - 1)) * 9 >= (n + m) * 4)
+def similar_size(n: Column, m: Column) -> Column:
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def in_reach(n: Column, m: Column, at: Column, to: Column) -> Column:
+    """0.8 is out of reach if the first shared shingle stands at ``at`` and ``to`` and too few follow in one of the sets."""
+    return (F.lit(1) + F.least(n - at - 1, m - to - 1)) * 9 >= (n + m) * 4
+
+
+def first_of(n: Column) -> Column:
+    """The length of a prefix."""
+    return F.floor(n / 5) + 1
+
+
+def enough_shared(n: Column, m: Column, shared: Column) -> Column:
+    """If the prefixes share ``shared`` shingles, the sets share that and what follows one of the prefixes at most."""
+    return (shared + F.greatest(n - first_of(n), m - first_of(m))) * 9 >= (n + m) * 4
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -112,7 +128,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(shingle_sets(batch.column(2), size), shingle_sets(batch.column(3), size), strict=True):
+            sides = []
+            for k in (0, 1):  # a text that occurs in several pairs is shingled once
+                _, first, at = np.unique(batch.column(k).to_numpy(), return_index=True, return_inverse=True)
+                sets = shingle_sets(batch.column(k + 2).take(pa.array(first)), size)
+                sides.append([sets[i] for i in at.tolist()])
+            for x, y in zip(*sides, strict=True):
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(bool(100 * shared >= 80 * (len(x) + len(y) - shared)))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["u", "v"])
@@ -134,17 +155,23 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     common = common_shingles(docs.select("text"), size)
     rows = reliable(prefixes(docs, size, common).withColumn("row", F.monotonically_increasing_id()))
     full = rows.filter("n > 0")
-    classes = full.groupBy("n", "set_a", "set_b").agg(F.min("row").alias("node"), F.min("lead").alias("lead"))
-    groups = classes.groupBy("n", "lead").agg(F.min("node").alias("group"))
+    classes = full.groupBy("n", "set_a", "set_b").agg(F.min("row").alias("node"), F.min("lead").alias("lead"), F.min("weight").alias("weight"))
+    groups = classes.groupBy("n", "lead").agg(F.min(F.struct(-F.col("weight"), "node")).alias("x")).select("n", "lead", F.col("x.node").alias("group"))
     members = reliable(classes.join(groups, ["n", "lead"]).select("node", "group", "n", "set_a", "set_b"))
     nodes = members.select("node").join(full.select(F.col("row").alias("node"), "doc_id", "mark"), "node")
-    lists = members.filter("node = group").select("group").join(full.select(F.col("row").alias("group"), "n", "prefix"), "group").select("group", "n", F.posexplode("prefix").alias("at", "token"))
-
-    # neighbours in a list, by size
-    near = Window.partitionBy("token").orderBy("n", "group")
-    chain = lists.withColumn("was", F.lag(F.struct("group", "n", "at")).over(near)).filter("was IS NOT NULL")
-    chain = chain.filter(could_link(F.col("was.n"), F.col("n"), F.col("was.at"), F.col("at"))).select(F.least("was.group", "group").alias("a"), F.greatest("was.group", "group").alias("b"))
-    tried = reliable(chain.union(members.filter("node <> group").select("group", "node")).distinct())
+    # only groups' first members are indexed, and of their shingles those that others have too
+    others = reliable(full.select("row").join(members.filter("node = group").select(F.col("node").alias("row")), "row", "left_anti"))
+    side = F.broadcast(others) if others.count() <= SMALL_SIDE else others
+    lists = full.join(side, "row", "left_anti").select(F.col("row").alias("group"), F.col("n").cast("int"), F.col("weight").cast("int"), F.posexplode("prefix").alias("at", "token"))
+    inner = Window.partitionBy("token").orderBy(F.desc("weight"), "n", "group")
+    near = lists.withColumn("before", F.lag("group").over(inner)).withColumn("after", F.lead("group").over(inner))
+    lists = reliable(near.filter("before IS NOT NULL OR after IS NOT NULL").select("token", "group", "n", "weight", "at"))
+
+    # each list's centre with its others
+    star = lists.withColumn("centre", F.first(F.struct("group", "n")).over(inner)).filter(F.col("group") != F.col("centre.group"))
+    star = star.filter(similar_size(F.col("centre.n"), F.col("n"))).groupBy(F.col("centre.group").alias("b"), F.col("group").alias("a")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    star = star.filter(F.col("met") * 4 >= first_of(F.col("n"))).select("a", "b")
+    tried = reliable(star.union(members.filter("node <> group").select("node", "group")))
     links = verified(tried, nodes, docs, size)
     label = components(links)
 
@@ -158,14 +185,17 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     x, y = left_over.alias("x"), left_over.alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.group") < F.col("y.group")))
     across = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & across & could_link(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
-    pairs = pairs.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & across & similar_size(F.col("x.n"), F.col("y.n")) & in_reach(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
+    pairs = reliable(pairs.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct())
+    heads = [full.select(F.col("row").alias(r), F.col("n").alias(n), F.col("prefix").alias(p)) for r, n, p in (("gr", "n", "gp"), ("hr", "m", "hp"))]
+    pairs = pairs.join(heads[0], F.col("g") == F.col("gr")).join(heads[1], F.col("h") == F.col("hr"))
+    pairs = pairs.filter(enough_shared(F.col("n"), F.col("m"), F.size(F.array_intersect("gp", "hp")))).select("g", "h")
     left, right = (member.select(F.col("node").alias(a), F.col("group").alias(g), F.col("label").alias(lab)) for a, g, lab in (("a", "p", "k"), ("b", "q", "l")))
     expanded = pairs.join(left, F.col("g") == F.col("p")).join(right, (F.col("h") == F.col("q")) & (F.col("k") != F.col("l"))).select("a", "b")
     mixed_groups = state.filter("low <> high").select(F.col("group").alias("g"))
     inside = mixed_groups.join(left, F.col("g") == F.col("p")).join(right, (F.col("g") == F.col("q")) & (F.col("k") != F.col("l")) & (F.col("a") < F.col("b"))).select("a", "b")
     more = expanded.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = reliable(more.join(tried, ["a", "b"], "left_anti"))
+    more = reliable(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     joined = components(links.union(verified(more, nodes, docs, size)))
 
     of = members.join(joined, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("c"))
