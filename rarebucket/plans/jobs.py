@@ -46,7 +46,7 @@ def fasta_runs(spark: SparkSession, reference: str, query: str, k: int, buckets:
         phase = "warmup" if i < warmup else "measured"
         rows.append((phase, reference, query, "spark", k, buckets, max(0, i - warmup), "ok", row["sequence_bases"], row["valid_kmers"], row["invalid_windows"], total, row["lower"], row["equal"], row["higher"], row["wkid"], row["ani"]))
     fields = "phase string, reference_path string, query_path string, backend string, k long, buckets long, run_index long, status string, sequence_bases long, valid_kmers long, invalid_windows long, total_ms double, lower long, equal long, higher long, wkid double, ani double"
-    return spark.createDataFrame(rows, fields)
+    return reports.run_table(spark.createDataFrame(rows, fields))
 
 
 def accuracy(spark: SparkSession, powers: Sequence[int], trials: int, seed: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Column names of the result files, as fixed by their format.
+# Columns of a run table (60): what was run, what came out, and on what machine.
+PROVENANCE = """git_commit manifest_sha256 baseline_revision toolkit_version driver_version compiler_version bench_revision core_revision
+    collections_revision hostname device_name device_uuid compute_capability device_memory_bytes free_device_memory_bytes power_limit_w persistence_mode
+    application_clocks device_temperature_c other_device_processes cpu_model cpu_logical_count cpu_affinity host_memory_bytes os kernel""".split()
 RUN_COLUMNS = {
     "string": "schema_version run_id timestamp_utc phase dataset reference_path reference_sha256 query_path query_sha256 backend status error".split(),
     "long": "k buckets root_seed derived_seed warmup run_index sequence_bases valid_kmers invalid_windows lower equal higher".split(),
@@ -13,13 +18,19 @@ RUN_COLUMNS = {
 }
 ACCURACY_SCHEMA = "Estimator string, Items long, Trial int, Exact long, Estimate double, `Signed Error` double, `Absolute Error` double"
 THROUGHPUT_SCHEMA = "implementation string, count long, buckets int, trial int, seconds double, adds_per_second double, estimate double"
-RUN_SCHEMA = ", ".join(f"{name} {kind}" for kind, names in RUN_COLUMNS.items() for name in names)
+RUN_SCHEMA = ", ".join([*(f"{name} {kind}" for kind, names in RUN_COLUMNS.items() for name in names), *(f"{name} string" for name in PROVENANCE)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def run_table(df: DataFrame) -> DataFrame:
+    """All columns of a run table; what ``df`` doesn't have is null."""
+    wanted = df.sparkSession.createDataFrame([], RUN_SCHEMA).schema
+    return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
+
+
 def load_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """The declared columns, found by name; other columns of the files are ignored, missing ones are null."""
     found = spark.read.option("header", True).csv(path)
@@ -27,11 +38,13 @@ def load_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFra
     return found.select(*[(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in found.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
 
 
-def union_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of all files; each file's header is left out of the data."""
-    out = load_csv(spark, paths[0], schema)
-    for path in paths[1:]:
-        out = out.unionByName(load_csv(spark, path, schema))
+def union_csv(spark: SparkSession, paths: list[str], schema: str, change: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Rows of all files; each file's header is left out of the data. ``change`` is applied to each file's rows with its path."""
+    out = None
+    for path in paths:
+        rows = load_csv(spark, path, schema)
+        rows = change(rows, path) if change else rows
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -74,7 +74,11 @@ def test_csv_round_trip(spark, tmp_path):
         reports.write_csv(rows, str(tmp_path / name))
     back = reports.load_csv(spark, str(tmp_path / "x"), reports.THROUGHPUT_SCHEMA)
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
-    assert reports.union_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")], "count long, absent string").count() == 4
+    both = [str(tmp_path / "x"), str(tmp_path / "y")]
+    assert reports.union_csv(spark, both, "count long, absent string").count() == 4
+    named = reports.union_csv(spark, both, "count long", lambda df, path: df.withColumn("file", F.lit(path[-1])))
+    assert sorted(r.file for r in named.collect()) == ["x", "x", "y", "y"]
+    assert len(reports.run_table(rows).columns) == 60
     reports.write_json(rows, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
     assert {len(r.sha256) for r in reports.checksums(spark, str(tmp_path / "x")).collect()} == {64}
