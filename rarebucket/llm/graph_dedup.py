@@ -8,7 +8,7 @@
 3. In each shard every node gets the neighbours that robust pruning leaves of its nearest, and reverse links;
    the adjacency lists of all shards are united by node.
 4. In each shard, with the united lists, every node at home there is searched for greedily from the medoid, and
-   from what the search meets within the cosine bound the search expands over all nodes in range. Each link found is verified in
+   from what the search meets within the cosine bound the search expands over all nodes in range or nearly so. Each link found is verified in
    double precision.
 5. Links between nodes at home in one shard are only counted and reduced to a spanning forest there; others are
    united as pairs. ``audit`` holds a bounded set of queries against all vectors by brute force.
@@ -34,6 +34,8 @@ from rarebucket.llm.components import components
 SHARD, SAMPLE, FANOUT, GUESTS = 16384, 2000, 32, 2
 #: Candidates and neighbours per node, slack of the pruning, width of the greedy search.
 NEAREST, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 24
+#: How far below the bound a node may be for the search to go on from it.
+SLACK = 0.01
 #: Splits in a row before the rest is dealt by hash.
 LEVELS = 16
 #: The share of a sample's links that a split may part.
@@ -147,7 +149,8 @@ def shards(nodes: DataFrame, reach: float, shard: int) -> DataFrame:
 
 
 def pruned(x: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
-    """Out-neighbours of each row: of its nearest, those that no closer chosen one covers; then reverse links up to twice the degree."""
+    """Out-neighbours of each row: of its nearest, those that no closer chosen one covers, filled up with the nearest to half
+    the degree, since in a ball one centre may cover all; then reverse links up to twice the degree, and one to each row that has none."""
     n, k = len(x), min(NEAREST, len(x) - 1)
     chosen: list[np.ndarray] = []
     for a in range(0, n, 256):
@@ -167,12 +170,18 @@ def pruned(x: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
             keep[rows[left], pick[left]] = True
             alive &= alpha * between[rows, pick] > far
             alive[rows, pick] = False
+        keep |= ~keep & (np.cumsum(~keep, 1) <= np.maximum(0, degree // 2 - keep.sum(1))[:, None])
         chosen += [t[m] for t, m in zip(top, keep, strict=True)]
     out = [set(c.tolist()) for c in chosen]
     for i, c in enumerate(chosen):
         for j in c.tolist():
             if len(out[j]) < 2 * degree:
                 out[j].add(i)
+    met = np.zeros(n, bool)
+    for o in out:
+        met[list(o)] = True
+    for i in np.flatnonzero(~met).tolist():
+        out[int(chosen[i][0])].add(i)
     return [np.array(sorted(o), np.int64) for o in out]
 
 
@@ -214,7 +223,7 @@ def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: int, be
 
 
 def expanded(x: np.ndarray, links: np.ndarray, queries: np.ndarray, found: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query position, node) of all nodes in range that are reachable over nodes in range, the query itself included."""
+    """(query position, node) of all nodes in range that are reachable over nodes in range or nearly so, the query itself included."""
     n = len(x)
     seen = np.zeros((len(queries), n), bool)
     at = np.concatenate([np.repeat(np.arange(len(queries)), found.shape[1])[(found >= 0).ravel()], np.arange(len(queries))])
@@ -226,9 +235,10 @@ def expanded(x: np.ndarray, links: np.ndarray, queries: np.ndarray, found: np.nd
         new = ~seen[at, node]
         at, node = at[new], node[new]
         seen[at, node] = True
-        near = np.concatenate([np.einsum("id,id->i", x[queries[at[a : a + 65536]]], x[node[a : a + 65536]]) >= bound for a in range(0, len(at), 65536)]) if len(at) else np.zeros(0, bool)
+        value = np.concatenate([np.zeros(0), *(np.einsum("id,id->i", x[queries[at[a : a + 65536]]], x[node[a : a + 65536]]) for a in range(0, len(at), 65536))])
+        hits.append((at[value >= bound], node[value >= bound]))
+        near = value >= bound - SLACK
         at, node = at[near], node[near]
-        hits.append((at, node))
         at, node = np.repeat(at, links.shape[1]), links[node].ravel()
         new = ~seen[at, node]
         at, node = at[new], node[new]
