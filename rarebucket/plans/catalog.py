@@ -255,7 +255,7 @@ def dna_kmers(spark: SparkSession, sf_dir: str, by: str, k: int) -> DataFrame:
     own = F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT")
     rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.coalesce(F.col(by), F.lit("")).alias("sketch_id"), "doc_id", own.alias("s"))
     lead = F.lag(F.substring("s", 32 - k + 2, k - 1), 1, "").over(Window.partitionBy("sketch_id").orderBy("doc_id"))
-    return rows.select("sketch_id", "doc_id", F.concat(lead, F.col("s")).alias("s")).select("sketch_id", F.explode(Q.kmers(F.col("s"), k)).alias("kmer"))
+    return Q.exploded(rows.select("sketch_id", F.concat(lead, F.col("s")).alias("s")), "s", k, "sketch_id")
 
 
 def _dna(by: str, k: int) -> str:

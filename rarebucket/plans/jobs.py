@@ -89,11 +89,12 @@ def profile(spark: SparkSession, count: int, seed: int) -> DataFrame:
 
 def synthetic_errors(spark: SparkSession, replicates: int, bases: int) -> DataFrame:
     """Errors in percentage points per true identity, own system, against the identity that made the genomes."""
-    from rarebucket.functions.sequences import kmers
+    from rarebucket.functions.sequences import exploded
 
     pairs = synthetic.genomes(spark, list(LEVELS), replicates, bases)
     point = F.concat_ws("/", F.col("identity").cast("string"), F.col("replicate").cast("string"))
-    rows = pairs.select(F.concat(point, F.lit("/r")).alias("id"), F.explode(kmers(F.col("reference"), S.K)).alias("kmer")).union(pairs.select(F.concat(point, F.lit("/q")).alias("id"), F.explode(kmers(F.col("query"), S.K)).alias("kmer")))
+    both = pairs.select(F.concat(point, F.lit("/r")).alias("id"), F.col("reference").alias("s")).union(pairs.select(F.concat(point, F.lit("/q")).alias("id"), F.col("query").alias("s")))
+    rows = exploded(both, "s", S.K, "id")
     wanted = pairs.select(F.concat(point, F.lit("/q")).alias("left_id"), F.concat(point, F.lit("/r")).alias("right_id"))
     found = C.with_metrics(C.compare(S.winners(rows, "kmer", "id"), wanted, S.BUCKETS), S.K).withColumn("identity", F.split("left_id", "/")[0].cast("double"))
     error = percent(F.col("ani") - F.col("identity") / 100)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rarebucket.functions.registers import checked_k
-from rarebucket.functions.sequences import kmers, statistics
+from rarebucket.functions.sequences import exploded, kmers, statistics
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -110,9 +110,7 @@ def ranges(spark: SparkSession, path: str, k: int, chunk_bytes: int = 32 << 20)
 
 def range_kmers(rows: DataFrame, k: int) -> DataFrame:
     """(path, kmer): a row per k-mer that ends in the range."""
-    both, head = F.concat("head", "body"), F.col("head")
-    own = F.slice(kmers(both, k), F.size(kmers(head, k)) + 1, F.greatest(F.size(kmers(both, k)), F.lit(1)))
-    return rows.select("path", F.explode(own).alias("kmer"))
+    return exploded(rows.select("path", F.concat(F.right("head", F.lit(k - 1)), "body").alias("sequence")), "sequence", k, "path")
 
 
 def range_statistics(rows: DataFrame, k: int) -> DataFrame:

@@ -93,3 +93,15 @@ def test_go_gate(spark):
     rows = [("measured", "f", 1.0, 1.0, "ok"), ("measured", "s", 2.0, 2.0, "ok"), ("warmup", "f", 9.0, 9.0, "bad")]
     row = P.go_gate(spark.createDataFrame(rows, "phase string, backend string, total_ms double, construction_ms double, status string"), "f", "s").first()
     assert row.go and row.speedup == 2.0
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 31])
+def test_both_forms_of_kmers(spark, k, monkeypatch):
+    random.seed(k)
+    texts = ["".join(random.choice("ACGTacgt ACGT\tN\u00e9") for _ in range(n)) for n in (0, 1, 30, 31, 32, 400)] + [None, "", "A" * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    want = sorted(map(tuple, rows.select("i", F.explode(Q.kmers(F.col("s"), k))).collect()))
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(Q, "SLICE", size)
+        assert sorted(map(tuple, Q.exploded(rows, "s", k, "i").collect())) == want
+    assert Q.exploded(rows, "s", k).count() == len(want)
