@@ -17,6 +17,8 @@ from rarebucket.functions import registers as R
 from rarebucket.functions.hashing import hash_key, unsigned_order
 
 BUCKETS, K = 2048, 25
+#: Registers (sketches times filled buckets) that are broadcast at most.
+SMALL = 1_000_000
 
 
 def _keyed(df: DataFrame, key: str | Column, by: str | Column | None) -> DataFrame:
@@ -40,6 +42,21 @@ def registers(df: DataFrame, key: str | Column, by: str | Column | None = None,
     return best(hashed.groupBy("sketch_id", "bucket", "score").agg(F.count("*").alias("n")))
 
 
+def registers_in_two_passes(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS, most: int = SMALL) -> DataFrame:
+    """The same as ``registers`` for inputs much larger than their sketches.
+
+    ``registers`` shuffles every (bucket, score) that a task meets, which for many keys a bucket is not much less than the keys.
+    Here a first pass finds the winners; if these are ``most`` rows at most, they are broadcast, the second pass counts
+    only keys that reach them, and both passes shuffle a row per task and bucket. Beyond, it is ``registers``.
+    """
+    top = winners(df, key, by, buckets).limit(most + 1).toArrow()
+    if len(top) > most:
+        return registers(df, key, by, buckets)
+    top = F.broadcast(df.sparkSession.createDataFrame(top))
+    hashed = hash_key(_keyed(df, key, by), "key").select("sketch_id", R.bucket_of(F.col("hash"), buckets).alias("bucket"), R.score(F.col("hash")).alias("winner"))
+    return hashed.join(top, ["sketch_id", "bucket", "winner"]).groupBy("sketch_id", "bucket", "winner").agg(F.count("*").alias("n"))
+
+
 def best(counted: DataFrame) -> DataFrame:
     """The largest score per bucket of (sketch_id, bucket, score, n) rows; n of equal scores must be summed before."""
     top = counted.groupBy("sketch_id", "bucket").agg(F.max(F.struct("score", "n")).alias("x"))
@@ -64,10 +81,11 @@ class Sketch:
     k: int = K
 
     @staticmethod
-    def build(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS, k: int = K, ids: DataFrame | None = None) -> Sketch:
+    def build(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS, k: int = K, ids: DataFrame | None = None, passes: int = 1) -> Sketch:
+        """``passes=2`` reads the input twice and moves far less of it."""
         R.checked_buckets(buckets)
         R.checked_k(k)
-        rows = registers(df, key, by, buckets)
+        rows = (registers_in_two_passes if passes == 2 else registers)(df, key, by, buckets)
         return Sketch(rows, rows.select("sketch_id").distinct() if ids is None else ids.select("sketch_id"), buckets, k)
 
     def add(self, df: DataFrame, key: str | Column, by: str | Column | None = None) -> Sketch:

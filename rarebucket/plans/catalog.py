@@ -71,6 +71,11 @@ def sketch_registers(spark, sf_dir):
     return S.registers(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag")
 
 
+@query(f"WITH {PARTS} SELECT sketch_id, bucket, winner, n FROM r")
+def sketch_registers_two_passes(spark, sf_dir):
+    return S.registers_in_two_passes(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag")
+
+
 @query(f"WITH {PARTS} SELECT sketch_id, bucket, winner FROM r")
 def sketch_winners(spark, sf_dir):
     return parts(spark, sf_dir)

@@ -115,6 +115,14 @@ def test_bad_parameters(spark, k, buckets):
         S.Sketch.build(spark.range(1), "id", k=k, buckets=buckets)
 
 
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_two_passes(spark, most):
+    rows = spark.range(30_000).select(F.pmod("id", F.lit(700)).alias("key"), (F.col("id") % 3).alias("part"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(S.registers_in_two_passes(rows, "key", "part", most=most)) == order(S.registers(rows, "key", "part"))
+    assert S.Sketch.build(rows.limit(0), "key", passes=2).rows.count() == 0
+
+
 def test_null_keys_are_left_out(spark):
     rows = spark.createDataFrame([(None,), (5,)], "key long")
     assert S.registers(rows, "key").count() == 1
