@@ -201,9 +201,13 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     of = members.join(joined, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("c"))
     placed = rows.select("row", "doc_id", "mark", "n", "set_a", "set_b").join(of, ["n", "set_a", "set_b"], "left").select("row", "doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("c")).otherwise(-F.col("row") - 1).alias("c"))
     placed = reliable(placed)
-    heads = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head"))
-    out = placed.join(heads, "c")
-    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("head.row")).alias("first"))
+    # a row without partners needs no look at its component, and the others' heads are few unless the corpus is large
+    heads = placed.groupBy("c").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head"))
+    heads = reliable(heads.filter("rows > 1").select(F.col("c").alias("of"), "low", F.col("head.row").alias("chief")))
+    side = F.broadcast(heads) if heads.count() <= SMALL_SIDE else heads
+    out = placed.join(side, F.col("c") == F.col("of"), "left")
+    component = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("low"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("of").isNull() | (F.col("row") == F.col("chief"))).alias("first"))
 
 
 def without_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
