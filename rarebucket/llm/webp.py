@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 
@@ -687,9 +686,13 @@ def text_weights() -> np.ndarray:
     return weight
 
 
-@lru_cache(maxsize=1)
+_book: list[tuple] = []
+
+
 def text_book() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
     """(words and lengths of green, words and lengths of the others, the bits before the pixels, how many)."""
+    if _book:
+        return _book[0]
     weight = text_weights()
     green = np.concatenate([weight, np.full(LENGTHS, 20)])
     books = [code_lengths(green, 15), code_lengths(weight, 15)]
@@ -699,7 +702,8 @@ def text_book() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, in
     for _ in range(3):
         put_code(out, books[1])
     put_code(out, np.eye(1, DISTANCES, 1, dtype=np.int64)[0])  # always the pixel to the left, in no bits
-    return code_words(books[0]).astype(np.uint64), books[0], code_words(books[1]).astype(np.uint64), books[1], *out.number()
+    _book.append((code_words(books[0]).astype(np.uint64), books[0], code_words(books[1]).astype(np.uint64), books[1], *out.number()))
+    return _book[0]
 
 
 def encode_payloads(samples: np.ndarray, rows: Sequence[int]) -> list[bytes]:
