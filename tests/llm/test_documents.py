@@ -149,6 +149,20 @@ def test_language(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
 
 
+def test_unknown_languages_go(spark, sf):
+    """Unlearned scripts and letter noise of any length go; learned texts and short clean ones stay."""
+    random = np.random.default_rng(3)
+    alphabets = ["".join(map(chr, range(a, b))) for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0x627, 0x64B), (0x4E00, 0x6E00))] + ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"]
+    noise = [" ".join("".join(random.choice([*a], random.integers(2, 10))) for _ in range(n)) for a in alphabets for n, k in ((3, 40), (60, 40), (1000, 5)) for _ in range(k)]
+    short = ["the", "of the", "and the water", "he was there", "der", "le"]
+    learned = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    added = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(noise + short)], learned.schema)
+    kept = {r.doc_id for r in langid.with_language(learned.union(added)).select("doc_id").collect()}
+    assert sum(-1 - i in kept for i in range(len(noise))) <= 0.02 * len(noise)
+    assert all(-1 - len(noise) - i in kept for i in range(len(short)))
+    assert sum(k >= 0 for k in kept) >= 0.98 * learned.count()
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 
 
