@@ -9,12 +9,14 @@ have g free places. Pieces come by falling length, and one that fits an open seq
 
 Null or empty texts are the end token alone. Repeated rows (equal ids included) are packed each on
 its own. An empty table gives an empty result. Columns other than the id and the text are not read.
-Bytes that aren't UTF-8 count as U+FFFD.
+Bytes that aren't UTF-8 count as U+FFFD. Strings of added tokens, such as ``<|endoftext|>``, become their ids if ``added`` is
+set, as in the registered queries; otherwise they are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,19 +32,26 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def load_encoder(ranks_path: str | None = None):
+def load_encoder(ranks_path: str | None = None, added: bool = False):
     """Encoder of the byte-level vocabulary of 50,257 entries.
 
     The rank file holds the vocabulary of ``byte_bpe_50k.json``; this encoder gives the ids of
-    ``tokenizers`` about four times as fast, and the tests compare the two. Strings that look
-    like special tokens are ordinary text.
+    ``tokenizers`` about four times as fast, and the tests compare the two. With ``added`` the added tokens
+    of that file are found in texts, as ``tokenizers`` does unless ``encode_special_tokens`` is set.
     """
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special: dict[str, int] = {}
+    if added:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as whole:
+            tokens = json.load(whole)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+            raise ValueError("added tokens that take in spaces or need whole words are not supported")
+        special = {t["content"]: t["id"] for t in tokens}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -52,17 +61,17 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
 
 
-def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, added: bool = False) -> DataFrame:
     """One row per piece, with a checksum of its ids as little-endian 32-bit numbers."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or load_encoder(ranks_path)
+            encoder = encoder or load_encoder(ranks_path, added)
             rows: list[tuple] = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.array([*encoder.encode_ordinary((body or b"").decode("utf-8", "replace")), end_id], "<u4")
+                ids = np.array([*encoder.encode((body or b"").decode("utf-8", "replace"), allowed_special="all"), end_id], "<u4")
                 rows += [(key, k, a, n, zlib.crc32(ids[a : a + n])) for k, (a, n) in enumerate(cut(ids, capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -113,6 +122,6 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
     return dealt.groupBy("group").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, group_docs: int = 32768, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, group_docs: int = 32768, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     groups = max(1, -(-docs.count() // group_docs))
-    return pack(tokenized(docs, capacity, end_id, doc_id, text), groups, capacity)
+    return pack(tokenized(docs, capacity, end_id, doc_id, text, added=added), groups, capacity)

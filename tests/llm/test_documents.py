@@ -276,6 +276,26 @@ def test_packing(spark):
     assert bag(packing.pack_documents(odd_documents(spark, 5), group_docs=10)) == sorted(map(repr, map(tuple, rows)))
 
 
+def test_added_tokens(spark, tmp_path):
+    """Registered packing gives the ids of the tokenizer as loaded, which finds added tokens in texts."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    random = np.random.default_rng(6)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "hello", " world", "é", "12", "'s", "\u00a0", "!"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>" * 1500] + ["".join(random.choice(parts, random.integers(1, 12))) for _ in range(300)]
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.update((i, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.cut(ids, 1024)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.QUERIES["op10_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows.collect()) == want
+
+
 @pytest.mark.parametrize("fill", [False, True])
 def test_sum_of_squares_choice(fill):
     """Each item goes where the sum over gaps of squared counts is smallest."""
