@@ -10,7 +10,7 @@ The template is ``[INST]user text[/INST]``, ``assistant text</s>``, ``<<SYS>>sys
 ``<``, ``[`` and backslash, so no control string can occur in them, and taking it out restores them exactly.
 Loss covers the assistant texts without the closing mark, as spans of code points.
 
-Null texts and roles are empty. Equal turns of a conversation are all kept, ordered by role and text. Messages whose parent is null
+Null texts and roles are empty. Rows without a conversation (a null tree or conv_id) are together one of their own, named null. Equal turns of a conversation are all kept, ordered by role and text. Messages whose parent is null
 or missing are roots. Messages on a cycle have no root and appear in no path. An empty table gives an empty result.
 """
 
@@ -43,7 +43,7 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     """
     own = messages.select("tree", "message", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = own.select(F.col("tree").alias("t"), F.col("message").alias("m"))
-    up = own.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("m")), "left")
+    up = own.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m")), "left")
     # above: the ancestor so far reached; depth and total: of the messages passed, own included
     state = reliable(up.select("tree", "message", F.col("m").alias("above"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
     longest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
@@ -51,26 +51,26 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     while reach < longest and state.filter("above IS NOT NULL").limit(1).count():
         hops.append(state.select("tree", "message", "above").filter("above IS NOT NULL"))
         far = state.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("above").alias("further"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        moved = state.filter("above IS NOT NULL").join(far, (F.col("tree") == F.col("t")) & (F.col("above") == F.col("m"))).select(
+        moved = state.filter("above IS NOT NULL").join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("m"))).select(
             "tree", "message", F.col("further").alias("above"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
         state, reach = reliable(state.filter("above IS NULL").union(moved)), 2 * reach
     rooted = state.filter("above IS NULL")  # what still has an ancestor is on or under a cycle
     replied = own.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p IS NOT NULL").distinct()
-    leaves = rooted.join(replied, (F.col("tree") == F.col("t")) & (F.col("message") == F.col("p")), "left_anti")
+    leaves = rooted.join(replied, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "message")
     marked = leaves.withColumn("path", F.row_number().over(order)).filter(F.col("path") <= paths).select("tree", "path", "message")
     for hop in reversed(hops):
         step = hop.select(F.col("tree").alias("t"), F.col("message").alias("m"), "above")
-        more = marked.join(step, (F.col("tree") == F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "path", F.col("above").alias("message"))
+        more = marked.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "path", F.col("above").alias("message"))
         marked = reliable(marked.union(more))
     at = rooted.select(F.col("tree").alias("t"), F.col("message").alias("m"), "depth")
-    return marked.join(at, (F.col("tree") == F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "path", "depth", "message")
+    return marked.join(at, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "path", "depth", "message")
 
 
 def formatted(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """(tree, path, conversation, loss_spans) with spans of (start, length) in code points from 1."""
     texts = messages.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = paths.join(texts, (F.col("tree") == F.col("t")) & (F.col("message") == F.col("m")))
+    turns = paths.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")))
     open_, close = F.concat(F.lit(ROLE[0]), escaped(F.col("role")), F.lit(ROLE[1])), F.lit(ROLE[2])
     for role, (a, b) in MARKS.items():
         open_, close = F.when(F.col("role") == role, F.lit(a)).otherwise(open_), F.when(F.col("role") == role, F.lit(b)).otherwise(close)
@@ -117,7 +117,7 @@ def from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """Rows of conversations by turn as a message table: each turn replies to the one before it."""
     own = turns.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     number = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text"))
-    own = own.filter("tree IS NOT NULL").withColumn("message", number.cast("long"))
+    own = own.withColumn("message", number.cast("long"))
     return own.select("tree", "message", F.when(F.col("message") > 1, F.col("message") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 

@@ -275,5 +275,14 @@ def test_conversations(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_turns_without_a_conversation(spark):
+    """Rows whose conv_id is null are a conversation of their own, whole and in order."""
+    rows = [(None, 2, "user", "c"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (7, 0, "user", "x"), (7, 1, "assistant", None)]
+    got = {r.tree: r.conversation for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {None: "<s>[INST]a[/INST]b</s>b</s>[INST]c[/INST]", 7: "<s>[INST]x[/INST]</s>"}
+    messages = spark.createDataFrame([(None, m, m - 1 if m else None, "user", str(m), 1.0) for m in range(9)], "tree long, message long, parent long, role string, text string, score double")
+    assert sorted(r.message for r in chat.best_paths(messages).filter("tree IS NULL").collect()) == [*range(9)]
+
+
 def test_conversations_sql(spark, sf):
     same_rows(queries.QUERIES["op6_chat"](spark, sf).toPandas(), duck(sf).sql(queries.SQL["op6_chat"]).df())
