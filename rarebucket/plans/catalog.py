@@ -279,6 +279,14 @@ def dna_similarity(spark, sf_dir):
     return rounded(C.with_metrics(C.all_pairs(rows, 2048), 7), 6, *METRICS)
 
 
+@query()
+def genome_identity(spark, sf_dir):
+    """Whole genomes at k = 25, with the replicates and bases of the synthetic job; the numbers of a genome are a chain, so there is no SQL."""
+    from rarebucket.plans.jobs import synthetic_errors
+
+    return synthetic_errors(spark, 5, 1 << 20)
+
+
 # --- synthetic keys, experiments ------------------------------------------------------------------------------------
 
 MASK = f"{synthetic.MASK}::UBIGINT"

@@ -26,6 +26,17 @@ def test_experiments(spark):
     assert all(abs(r.mae) < 3 for r in jobs.synthetic_errors(spark, 1, 4000).filter("identity >= 95").collect())
 
 
+def test_whole_genomes_are_registered(spark, sf, monkeypatch):
+    """The registered query has the job's full sizes; here it is run on shorter genomes."""
+    from rarebucket.plans import catalog
+
+    asked = []
+    monkeypatch.setattr(jobs, "synthetic_errors", lambda s, *sizes, f=jobs.synthetic_errors: asked.append(sizes) or f(s, 1, 20_000))
+    rows = catalog.QUERIES["genome_identity"](spark, sf).collect()
+    assert asked == [(5, 1 << 20)] and {r.identity for r in rows} == set(jobs.LEVELS)
+    assert all(r.mae < 1 and r.invalid_rate == 0 for r in rows if r.identity >= 95)
+
+
 def test_bad_job(spark):
     with pytest.raises(SystemExit):
         jobs.main(["fasta", "--reference", "x", "--query", "y", "--k", "99"])
