@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +21,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors share.
+    """The checkpoint folder, which all executors share: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) does a
-    local one serve.
+    Only where driver and executors are one process (tests) may that be unset; a local folder serves there. On a cluster
+    other machines could not read it, so that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "rarebucket-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "rarebucket-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders of intermediate tables that are still there.
+_kept: list[str] = []
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back."""
+    """``df`` written to the shared checkpoint folder and read back. ``forget`` or ``tidy`` removes the files."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if path := folder_of(out):
+        _kept.append(path)
+    return out
+
+
+def folder_of(df: DataFrame) -> str | None:
+    """Where the rows of a table made by ``reliable`` lie."""
+    plan = df._jdf.queryExecution().logical()
+    found = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    return found.get() if found is not None and found.isDefined() else None
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``reliable`` that nothing reads any more."""
+    for df in tables:
+        if (path := folder_of(df)) in _kept:
+            _kept.remove(path)
+            removed(df.sparkSession, path)
+
+
+def tidy(spark: SparkSession, since: int = 0) -> None:
+    """Remove all intermediate tables made after the first ``since``; results that still read them must have been written."""
+    for path in _kept[since:]:
+        removed(spark, path)
+    del _kept[since:]
+
+
+def kept_tables() -> int:
+    return len(_kept)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since a text may have megabytes.
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``most`` bytes of text (or one row) each.
 
-    This sets a session option, because Spark has no such option for one operator.
+    Spark bounds an Arrow batch in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); array work takes
+    many times a text's size, so operators go on in slices, which copy nothing.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for batch in batches:
+        ends = utf8(batch.column(column))[1]
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def fold_of(key: Column, folds: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import reliable
+from rarebucket.llm.common import forget, reliable
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(u, v) rows to (node, component): the smallest node reachable, for each node that has a link to another."""
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
-    links = reliable(links.mapInArrow(_forest, "u long, v long"))
+    links = start = reliable(links.mapInArrow(_forest, "u long, v long"))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -58,6 +58,8 @@ def components(links: DataFrame) -> DataFrame:
         pairs = down.join(low, F.col("u") == F.col("w")).select("v", "m", F.col("u").alias("own"))
         links = pairs.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("own").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
         links = reliable(links)
+        forget(start)
+        start = links
         now = state(links)
         if now == was:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import mixed, reliable, small_batches
+from rarebucket.llm.common import mixed, pieces, reliable
 from rarebucket.llm.components import components
 from rarebucket.llm.shingles import shingle_sets
 
@@ -52,7 +52,7 @@ def common_shingles(texts: DataFrame, size: int, least: int = 16) -> tuple[np.nd
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(found[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], names=["shingle", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, 0):
             held += shingle_sets(batch.column(0), size)
             if sum(map(len, held)) > CHUNK:
                 yield out()
@@ -81,7 +81,7 @@ def prefixes(docs: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray])
         known, classes = shared.value
         maybe = np.zeros(1 << 22, bool)
         maybe[(known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for batch in batches:
+        for batch in pieces(batches, 2):
             rows, tokens, ends = [], [], [0]
             for s in shingle_sets(batch.column(2), size):
                 n = len(s)
@@ -126,7 +126,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     """The (a, b) of ``pairs`` whose sets are similar enough, found from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(pieces(batches, 2), 3):
             keep = []
             sides = []
             for k in (0, 1):  # a text that occurs in several pairs is shingled once
@@ -150,7 +150,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
 
 def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, mark (hash of the text), n_shingles, component_id, ``first`` (one row of each component)."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("mark"), F.col(text).cast("string").alias("text"))
     common = common_shingles(docs.select("text"), size)
     rows = reliable(prefixes(docs, size, common).withColumn("row", F.monotonically_increasing_id()))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import fold_of, mixed, small_batches
+from rarebucket.llm.common import fold_of, mixed, pieces
 
 DIMENSIONS = 1024
 #: Vectors of training texts have this length when they are rounded.
@@ -100,7 +100,6 @@ def as_texts(column: pa.Array) -> list[str]:
 
 def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages in code point order and their unit prototypes, from rows of (text, lang)."""
-    small_batches(training.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter, sums = None, {}
@@ -108,7 +107,7 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
-        for batch in batches:
+        for batch in pieces(batches, 0):
             is_letter = letters() if is_letter is None else is_letter
             vectors = text_vectors(as_texts(batch.column(0)), is_letter, dimensions)
             length = np.linalg.norm(vectors, axis=1)
@@ -133,14 +132,13 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
 
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (the cosine, at least 0) after its own columns."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     dimensions = model[1].shape[1] if len(model[0]) else DIMENSIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter, (names, profile) = None, shared.value
-        for batch in batches:
+        for batch in pieces(batches, at):
             is_letter = letters() if is_letter is None else is_letter
             lang, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
             if names and len(batch):

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import WORD, mixed, small_batches, utf8
+from rarebucket.llm.common import WORD, mixed, utf8
 from rarebucket.llm.shingles import words
 
 CHUNK, PART = 4 << 20, 1_500_000
@@ -66,7 +66,6 @@ BUNDLE = "chunk long, ids array<long>, sizes array<long>, texts binary"
 
 def bundled(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """A row per chunk of rows (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made, held = TaskContext.get().partitionId() << 24, 0, []

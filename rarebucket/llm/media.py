@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import small_batches, utf8
+from rarebucket.llm.common import pieces, utf8
 from rarebucket.llm.webp import ROW, SIDE, decode, encode_payloads, samples_of
 
 #: Payload bytes that are written by one set of array operations.
@@ -78,10 +78,9 @@ def feature(samples: np.ndarray, rows: int) -> str:
 
 def media_column(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the stored form of each text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             body, ends = utf8(batch.column(1))
             bodies = [body[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.array(store(bodies), pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -93,7 +92,7 @@ def pixel_arrays(media: DataFrame) -> DataFrame:
     """(doc_id, height, width, pixels): the ARGB pixels of each image; images of one payload are stacked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             images = [np.concatenate(load(m)) for m in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.ravel().astype(np.int64) for i in images], pa.list_(pa.int64()))],
@@ -106,7 +105,7 @@ def inspected(media: DataFrame) -> DataFrame:
     """What the stored bytes give back: size and digests of the payload, of the stored form, and the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             rows = []
             for stored in batch.column(2).to_pylist():
                 images = load(stored)

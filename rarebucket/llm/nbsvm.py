@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import fold_of, mixed, small_batches, utf8
+from rarebucket.llm.common import fold_of, mixed, pieces, utf8
 from rarebucket.llm.shingles import BASE, INVERSE, SPACE, powers, words
 
 #: Labelled rows that a model is fitted to, about.
@@ -141,14 +141,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, smoothing:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
     usable = usable.groupBy("doc_id").agg(F.min(label).alias("y"))
     n = usable.count()
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < sample).select(F.col("doc_id").alias("label_id"), F.col("y").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tolist() for r in indicators(batch.column(2))], pa.list_(pa.int32()))], names=["doc_id", "y", "found"])
 
     # the sample has a row per id, so its size is bounded by ``sample``
@@ -165,13 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
     """``docs`` with a score after its own columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, offset = shared.value
-        for batch in batches:
+        for batch in pieces(batches, at):
             margin = np.array([weights[r].sum() for r in indicators(batch.column(at))]) + offset
             score = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])

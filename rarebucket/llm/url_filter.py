@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import fold_of, small_batches, utf8
+from rarebucket.llm.common import fold_of, pieces, utf8
 
 #: What a URL is made of for the model; 0 is the border of the string and 1 any other byte.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.-_?=&#:%+~"
@@ -83,7 +83,7 @@ def counted(urls: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SIGNS ** (ORDER + 1)), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             gram, row = grams(batch.column(1))
             label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sums += np.bincount(label[row] * sums.shape[1] + gram, minlength=sums.size).reshape(sums.shape)
@@ -120,7 +120,7 @@ def with_score(pages: DataFrame, table: np.ndarray, url: str = "url") -> DataFra
     at, shared = pages.columns.index(url), pages.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             gram, row = grams(batch.column(at))
             sums, n = np.bincount(row, shared.value[gram].astype(np.float64), minlength=len(batch)), np.bincount(row, minlength=len(batch))
             score = np.where(np.diff(utf8(batch.column(at))[1]) > 0, sums / np.maximum(n, 1), 0.0)
@@ -147,7 +147,6 @@ def threshold(scored: DataFrame) -> float:
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, folds: int = 5, held_out: int = 0) -> DataFrame:
     """page_id, host, path, rule, verdict, lm_score per row of ``pages``."""
-    small_batches(pages.sparkSession, 4096)
     known = ruled(pages.select("page_id", "url"), rules)
     labelled = known.filter("rule_verdict IS NOT NULL").select((F.col("rule_verdict") == "allow").cast("long").alias("label"), "url", (fold_of(F.col("page_id"), folds) == held_out).alias("held"))
     table, cut = difference(counted(labelled.filter("NOT held").select("label", "url"))), 0.0
