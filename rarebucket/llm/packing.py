@@ -1,14 +1,14 @@
 """Best-fit packing by sums of squares: whole documents into token sequences.
 
 Documents become tokens in one pass; of a document longer than a sequence only the first piece
-can be shorter than a sequence. Pieces are packed in groups of about ``group_docs`` documents at most,
-dealt by a hash of the document's id, so groups are alike whatever the sources, and a
-hot source or a run of copies doesn't meet in one task. Within a group each piece goes where
+can be shorter than a sequence. Pieces are packed in groups of about ``group_docs`` documents,
+dealt by a hash of all that is known of a piece and, for equal pieces, their number. So groups are alike whatever the sources,
+and no source, id (null ones included) or run of copies meets in one task. Within a group each piece goes where
 the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open sequences that
 have g free places. Pieces come by falling length, and one that fits an open sequence opens no new one.
 
 Null or empty texts are the end token alone. Repeated rows (equal ids included) are packed each on
-its own. An empty table gives an empty result. Columns other than the id and the text are not read.
+its own, in groups dealt apart. An empty table gives an empty result. Columns other than the id and the text are not read.
 Bytes that aren't UTF-8 count as U+FFFD. Strings of added tokens, such as ``<|endoftext|>``, become their ids if ``added`` is
 set, as in the registered queries; otherwise they are ordinary text.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import small_batches
+from rarebucket.llm.common import pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -63,11 +63,10 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, added: bool = False) -> DataFrame:
     """One row per piece, with a checksum of its ids as little-endian 32-bit numbers."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             encoder = encoder or load_encoder(ranks_path, added)
             rows: list[tuple] = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -118,7 +117,10 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
         rows["offset"] = offsets
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("deal", F.xxhash64("doc_id")).withColumn("group", F.pmod("deal", F.lit(groups)))
+    known = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # equal pieces are counted, which the tasks do for what they read, and then numbered; which is which doesn't matter
+    dealt = pieces.groupBy(*known).agg(F.count("*").alias("equal")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    dealt = dealt.withColumn("deal", F.xxhash64(*known, "nth")).withColumn("group", F.pmod("deal", F.lit(groups))).drop("equal", "nth")
     return dealt.groupBy("group").applyInPandas(run, PACKED)
 
 
