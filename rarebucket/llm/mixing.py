@@ -8,11 +8,15 @@ range-sorted by position.
 
 A running sum over a source would put a hot source into one task, so sums run over
 (source, bucket), with buckets cut from the shuffled order, and a second sum runs over the totals of
-the buckets. Both bucket number and bucket size grow with the square root of the rows.
+the buckets. Both bucket number and bucket size grow with the square root of the rows. The shuffled order is that of a
+digest of id and text, so rows without an id and rows of one id spread too; rows that are equal throughout are
+counted, take one place in the sums and are told apart again after them. The table of sources alone is summed in one
+task, a row per source.
 
 Null texts have size 0, a null source is a source of its own (ordered last), a null id shuffles as empty
-text. Rows that share an id and a size are interchangeable. Sources of size 0 get target 0 and
-their documents take 0 words. An empty table gives an empty result. Other columns are left alone.
+text. Rows of equal id and text are interchangeable, and each has its own words. Sources of size 0 get target 0 and
+their documents take 0 words. An empty table gives an empty result. Other columns are left alone, whatever their names;
+texts of any length are only counted, digested and, at the end of a source, cut.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 
 from rarebucket.llm.common import WORD, reliable
 
+#: Tasks that the lines of one set of equal rows are dealt to, at most.
+SALTS = 32
 #: Weight curves as (time, weight) knots, dealt to the sources in turn: early, late, then flat with a late rise.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (0.7, 1.0), (1.0, 2.0)))
 
@@ -81,21 +87,24 @@ def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total: floa
 
     ``taken`` counts words of both copies; the position is the first copy's. ``keep`` names further columns to carry.
     """
-    ident = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    ident = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), ident.alias("deal"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    base = reliable(base)  # narrow rows; the texts are read once
+    base = reliable(base.groupBy(*base.columns).agg(F.count("*").alias("equal")))  # narrow rows; the texts are read once
     buckets = 4 * math.isqrt(base.count()) + 1
+    base = base.withColumn("all_size", F.col("size") * F.col("equal"))
     bucket = F.floor(F.conv(F.substring("deal", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(1 << 32))).cast("int")
     base = base.withColumn("bucket", bucket)
-    sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = base.groupBy("source", "bucket").agg(F.sum("all_size").alias("bucket_size"))
     prior = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(prior), F.lit(0)))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, total, cap)
     sums = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "before", "source_size", "rank", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("deal", "doc_id", "size", *[f"kept_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = base.withColumn("inside", F.coalesce(F.sum("all_size").over(inside), F.lit(0)))
     placed = placed.alias("d").join(sums.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
-    placed = placed.select("doc_id", "size", "d.source", "source_size", "rank", "target", (F.col("before") + F.col("inside")).alias("offset"), "deal", *[f"kept_{c}" for c in keep])
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    offset = (F.col("before") + F.col("inside") + F.col("nth") * F.col("size")).alias("offset")
+    placed = placed.select("doc_id", "size", "d.source", "source_size", "rank", "target", offset, "deal", "equal", "nth", *[f"kept_{c}" for c in keep])
     words = F.floor("target")
     taken = F.lit(0).cast("long")
     for copy in range(math.ceil(cap)):
@@ -137,19 +146,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total:
     plan = mixed_words(docs.withColumn("own_mark", mark), weights, total, cap, curves, keep=("own_mark",))
     words = F.floor("target")
     copies = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1)))
-    plan = plan.filter("taken > 0").withColumn("equal", F.count("*").over(Window.partitionBy("doc_id", "source", "kept_own_mark")))
-    plan = plan.withColumn("copy", copies).withColumn("offset", F.col("offset") + F.col("copy") * F.col("source_size"))
+    plan = plan.filter("taken > 0").withColumn("copy", copies).withColumn("offset", F.col("offset") + F.col("copy") * F.col("source_size"))
     plan = plan.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("offset")))).filter("words > 0")
     plan = plan.withColumn("position", start_position(F.col("offset"), F.col("target"), F.col("rank"), curves))
-    plan = reliable(plan.select(F.col("doc_id").alias("plan_id"), F.col("kept_own_mark").alias("plan_mark"), "copy", "position", "words", "size", "deal", "equal"))
+    plan = reliable(plan.select(F.col("doc_id").alias("plan_id"), F.col("kept_own_mark").alias("plan_mark"), "copy", "position", "words", "size", "deal", "equal", F.pmod(F.xxhash64("nth", "copy"), F.least("equal", F.lit(SALTS))).cast("int").alias("salt")))
     rows = docs.select(*[F.col(c).alias(f"own_{c}") for c in columns], mark.alias("mark"))
     on = F.col("own_doc_id").eqNullSafe(F.col("plan_id")) & (F.col("mark") == F.col("plan_mark"))
     out = rows.join(plan.filter("equal = 1"), on)
     repeated = plan.filter("equal > 1")
-    if repeated.limit(1).count():  # one of the equal rows meets the lines of all of them
-        again = repeated.select("plan_id", "plan_mark").distinct()
+    if repeated.limit(1).count():  # one of the equal rows meets the lines of all of them, in several tasks if there are many
+        again = repeated.select("plan_id", "plan_mark", "equal").distinct()
         once = rows.join(again, on).drop("plan_id", "plan_mark").dropDuplicates(["own_doc_id", "mark"])
-        out = out.unionByName(once.join(repeated, on))
+        once = once.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.least("equal", F.lit(SALTS)).cast("int") - 1))).drop("equal")
+        out = out.unionByName(once.join(repeated, on & (F.col("own_salt") == F.col("salt"))).drop("own_salt"))
     out = by_position(out, "deal", "copy")
     cut = F.col("words") < F.col("size")
     text = F.when(cut, first_words(F.col("own_text"), F.col("words"))).otherwise(F.col("own_text"))
