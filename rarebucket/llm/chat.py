@@ -10,8 +10,11 @@ The template is ``[INST]user text[/INST]``, ``assistant text</s>``, ``<<SYS>>sys
 ``<``, ``[`` and backslash, so no control string can occur in them, and taking it out restores them exactly.
 Loss covers the assistant texts without the closing mark, as spans of code points.
 
-Null texts and roles are empty. Rows without a conversation (a null tree or conv_id) are together one of their own, named null. Equal turns of a conversation are all kept, ordered by role and text. Messages whose parent is null
+Null texts and roles are empty. Rows without a conversation (a null tree or conv_id) are together one of their own, named
+null. A null turn comes first; equal turns of a conversation are all kept, ordered by role and text. Messages whose parent is null
 or missing are roots. Messages on a cycle have no root and appear in no path. An empty table gives an empty result.
+Other columns are not read, whatever their names. A text of any length is one value; a conversation is one row of the result and so
+one task's work, which is linear in its turns and characters.
 """
 
 from __future__ import annotations
@@ -74,19 +77,16 @@ def formatted(paths: DataFrame, messages: DataFrame) -> DataFrame:
     open_, close = F.concat(F.lit(ROLE[0]), escaped(F.col("role")), F.lit(ROLE[1])), F.lit(ROLE[2])
     for role, (a, b) in MARKS.items():
         open_, close = F.when(F.col("role") == role, F.lit(a)).otherwise(open_), F.when(F.col("role") == role, F.lit(b)).otherwise(close)
-    turn = F.struct("depth", open_.alias("open"), escaped(F.col("text")).alias("body"), close.alias("close"), (F.col("role") == "assistant").alias("loss"))
-    whole = turns.groupBy("tree", "path").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    parts = F.transform("turns", lambda x: F.concat(x["open"], x["body"], x["close"]))
-    zero = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def walk(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["open"])
-        end = start + F.length(x["body"])
-        span = F.struct((start + 1).cast("long").alias("start"), F.length(x["body"]).cast("long").alias("length"))
-        return F.struct((end + F.length(x["close"])).cast("long").alias("at"), F.when(x["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    spans = F.aggregate("turns", zero, walk, lambda s: s["spans"])
-    return whole.select("tree", "path", F.concat(F.lit(BEGIN), F.array_join(parts, "")).alias("conversation"), spans.alias("loss_spans"))
+    turns = turns.select("tree", "path", "depth", (F.col("role") == "assistant").alias("loss"), open_.alias("open"), escaped(F.col("text")).alias("body"), close.alias("close"))
+    # where each turn starts is a running sum over its path, which is dealt and sorted as the aggregation needs it
+    before = Window.partitionBy("tree", "path").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("open") + F.length("body") + F.length("close")
+    start = F.lit(len(BEGIN) + 1) + F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("open")
+    turn = F.struct("depth", F.concat("open", "body", "close").alias("whole"), "loss", F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length")).alias("span"))
+    whole = turns.withColumn("start", start).groupBy("tree", "path").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["span"])
+    text = F.concat(F.lit(BEGIN), F.array_join(F.transform("turns", lambda x: x["whole"]), ""))
+    return whole.select("tree", "path", text.alias("conversation"), spans.alias("loss_spans"))
 
 
 def parsed(conversation: Column) -> Column:
