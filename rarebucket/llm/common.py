@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +68,12 @@ def forget(*tables: DataFrame) -> None:
             removed(df.sparkSession, path)
 
 
-def tidy(spark: SparkSession, since: int = 0) -> None:
-    """Remove all intermediate tables made after the first ``since``; results that still read them must have been written."""
-    for path in _kept[since:]:
+def tidy(spark: SparkSession, since: int = 0, but: Sequence[DataFrame] = ()) -> None:
+    """Remove all intermediate tables made after the first ``since`` ``but`` these; what still reads them must have been written."""
+    stay = {folder_of(df) for df in but}
+    for path in [p for p in _kept[since:] if p not in stay]:
+        _kept.remove(path)
         removed(spark, path)
-    del _kept[since:]
 
 
 def kept_tables() -> int:

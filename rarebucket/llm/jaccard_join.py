@@ -20,6 +20,7 @@ id. An empty table gives an empty result. Other columns are not read. Texts are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import mixed, pieces, reliable
+from rarebucket.llm.common import forget, kept_tables, mixed, pieces, reliable, tidy
 from rarebucket.llm.components import components
 from rarebucket.llm.shingles import shingle_sets
 
@@ -35,6 +36,8 @@ from rarebucket.llm.shingles import shingle_sets
 CHUNK, COMMON = 4_000_000, 1 << 20
 #: Rows up to which the keys of wanted texts are broadcast; beyond, the join shuffles.
 SMALL_SIDE = 1_000_000
+#: Tasks that the pairs of one node are dealt to, at most; a class of sizes holds those up to this many times its least (over 1.25).
+SALTS, CLASS = 32, 1.26
 
 
 def common_shingles(texts: DataFrame, size: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +141,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
                 keep.append(bool(100 * shared >= 80 * (len(x) + len(y) - shared)))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["u", "v"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # the pairs of a hub meet its text in up to SALTS tasks, dealt by the other end
+    salted = pairs.select("a", "b", *[F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int").alias(f"salt_{k}") for k, other in ("ab", "ba")])
+    ends = salted.select(F.explode(F.array(*[F.struct(F.col(k).alias("node"), F.col(f"salt_{k}").alias("salt")) for k in "ab"])).alias("x"))
+    wanted = ends.groupBy("x.node").agg(F.collect_set("x.salt").alias("salts"))
     wanted = reliable(wanted.join(nodes.select("node", "doc_id", "mark"), "node"))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "text")
     side = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
-    texts = texts.join(side, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark"))).groupBy("node").agg(F.first("text").alias("text"))
-    left, right = (texts.select(F.col("node").alias(f"node_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
-    both = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-    return reliable(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long"))
+    texts = texts.join(side, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark"))).groupBy("node").agg(F.first("text").alias("text"), F.first("salts").alias("salts"))
+    texts = texts.select("node", F.explode("salts").alias("salt"), "text")
+    left, right = (texts.select(F.col("node").alias(f"node_{k}"), F.col("salt").alias(f"of_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
+    both = salted.join(left, (F.col("a") == F.col("node_a")) & (F.col("salt_a") == F.col("of_a"))).join(right, (F.col("b") == F.col("node_b")) & (F.col("salt_b") == F.col("of_b")))
+    out = reliable(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long"))
+    forget(wanted)
+    return out
 
 
 def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, mark (hash of the text), n_shingles, component_id, ``first`` (one row of each component)."""
+    spark, already = docs.sparkSession, kept_tables()
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("mark"), F.col(text).cast("string").alias("text"))
     common = common_shingles(docs.select("text"), size)
     rows = reliable(prefixes(docs, size, common).withColumn("row", F.monotonically_increasing_id()))
@@ -162,12 +172,12 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     others = reliable(full.select("row").join(members.filter("node = group").select(F.col("node").alias("row")), "row", "left_anti"))
     side = F.broadcast(others) if others.count() <= SMALL_SIDE else others
     lists = full.join(side, "row", "left_anti").select(F.col("row").alias("group"), F.col("n").cast("int"), F.col("weight").cast("int"), F.posexplode("prefix").alias("at", "token"))
-    inner = Window.partitionBy("token").orderBy(F.desc("weight"), "n", "group")
-    near = lists.withColumn("before", F.lag("group").over(inner)).withColumn("after", F.lead("group").over(inner))
-    lists = reliable(near.filter("before IS NOT NULL OR after IS NOT NULL").select("token", "group", "n", "weight", "at"))
+    again = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
+    lists = reliable(lists.join(again, "token", "left_semi").select("token", "group", "n", "weight", "at"))
 
-    # each list's centre with its others
-    star = lists.withColumn("centre", F.first(F.struct("group", "n")).over(inner)).filter(F.col("group") != F.col("centre.group"))
+    # each list's centre with its others; a minimum is found where rows lie, so a long list needs no task of its own
+    centres = lists.groupBy("token").agg(F.min(F.struct(-F.col("weight"), "n", "group")).alias("x")).select("token", F.struct("x.group", "x.n").alias("centre"))
+    star = lists.join(centres, "token").filter(F.col("group") != F.col("centre.group"))
     star = star.filter(similar_size(F.col("centre.n"), F.col("n"))).groupBy(F.col("centre.group").alias("b"), F.col("group").alias("a")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
     star = star.filter(F.col("met") * 4 >= first_of(F.col("n"))).select("a", "b")
     tried = reliable(star.union(members.filter("node <> group").select("node", "group")))
@@ -180,11 +190,13 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     state = member.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     marked = lists.join(state.withColumnRenamed("group", "of"), F.col("group") == F.col("of")).select("token", "group", "n", "at", "low", "high")
     apart = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token")
-    left_over = reliable(marked.join(apart, "token"))
-    x, y = left_over.alias("x"), left_over.alias("y")
+    # a list is paired by classes of size, of which only equal and next ones can hold similar sizes
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(CLASS)).cast("int")
+    left_over = reliable(marked.join(apart, "token").withColumn("kind", kind))
+    x, y = left_over.alias("x"), left_over.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") - 1))).alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.group") < F.col("y.group")))
     across = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ordered & across & similar_size(F.col("x.n"), F.col("y.n")) & in_reach(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & ordered & across & similar_size(F.col("x.n"), F.col("y.n")) & in_reach(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
     pairs = reliable(pairs.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct())
     heads = [full.select(F.col("row").alias(r), F.col("n").alias(n), F.col("prefix").alias(p)) for r, n, p in (("gr", "n", "gp"), ("hr", "m", "hp"))]
     pairs = pairs.join(heads[0], F.col("g") == F.col("gr")).join(heads[1], F.col("h") == F.col("hr"))
@@ -200,6 +212,7 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     of = members.join(joined, "node", "left").select("n", "set_a", "set_b", F.coalesce("component", "node").alias("c"))
     placed = rows.select("row", "doc_id", "mark", "n", "set_a", "set_b").join(of, ["n", "set_a", "set_b"], "left").select("row", "doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("c")).otherwise(-F.col("row") - 1).alias("c"))
     placed = reliable(placed)
+    tidy(spark, already, (placed,))
     # a row without partners needs no look at its component, and the others' heads are few unless the corpus is large
     heads = placed.groupBy("c").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head"))
     heads = reliable(heads.filter("rows > 1").select(F.col("c").alias("of"), "low", F.col("head.row").alias("chief")))
