@@ -1,20 +1,25 @@
 """Near copies among embeddings by search over a robust-pruned flat graph.
 
 1. Vectors of equal label and dimension are comparable. Equal vectors collapse into one node that counts for several.
-2. Nodes are dealt to cluster shards of bounded size: an oversized shard is split by k-means over a bounded sample of it, and a
-   node also goes (as a guest) to further clusters if it lies within the reach of a link of their border, up to
-   ``GUESTS``. Where a split would part linked vectors of the sample, as in a dense ball, the shard becomes groups dealt
-   by hash and a shard for each pair of groups, which loses nothing.
+2. Nodes are dealt to overlapping cluster shards of at most ``SHARD``: an oversized shard is split by k-means over a bounded
+   sample of it, and a node also goes (as a guest) to further clusters if it lies within the reach of a link of their
+   border, up to ``GUESTS``. The links of some queries of the shard, found among all its nodes, tell whether a split parts
+   links. Where it does, as in a dense ball, the shard becomes groups dealt by hash and a shard for each pair of
+   groups, which loses nothing.
 3. In each shard every node gets the neighbours that robust pruning leaves of its nearest, and reverse links;
-   the adjacency lists of all shards are united by node.
+   the adjacency lists of all cluster shards are united by node. (Shards of groups keep theirs: there a node has as many lists as
+   there are groups.) The nearest of a node come from products of blocks: at ``SHARD`` nodes they cost no more than one
+   search, which takes about 40 steps over 48 neighbours.
 4. In each shard, with the united lists, every node at home there is searched for greedily from the medoid, and
    from what the search meets within the cosine bound the search expands over all nodes in range or nearly so. Each link found is verified in
    double precision.
 5. Links between nodes at home in one shard are only counted and reduced to a spanning forest there; others are
-   united as pairs. ``audit`` holds a bounded set of queries against all vectors by brute force.
+   united as pairs.
+6. A bounded number of queries is held against all vectors by brute force; a recall under ``RECALL`` is an error.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing.
-Rows of equal vec_id are rows of their own. An empty table gives an empty result. Other columns are not read.
+Rows of equal vec_id are rows of their own; equal vectors and ties at the bound all link. An empty table gives an empty result. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,30 +29,44 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import reliable
+from rarebucket.llm.common import forget, kept_tables, reliable, tidy
 from rarebucket.llm.components import components
 
 #: Nodes of a shard, vectors of a sample per split, clusters of a split, clusters that a node visits besides its own.
-SHARD, SAMPLE, FANOUT, GUESTS = 16384, 2000, 32, 2
+SHARD, SAMPLE, FANOUT, GUESTS = 2048, 2000, 32, 2
+#: Rows of a shard that are dealt in one task; queries that a split is judged by, and queries of the audit.
+DEALT, JUDGES, AUDITED, RECALL = 8192, 64, 200, 0.9
 #: Candidates and neighbours per node, slack of the pruning, width of the greedy search.
 NEAREST, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 24
 #: How far below the bound a node may be for the search to go on from it.
 SLACK = 0.01
 #: Splits in a row before the rest is dealt by hash.
 LEVELS = 16
-#: The share of a sample's links that a split may part.
+#: The share of the judging queries' links that a split may part.
 TORN = 0.01
 
 MEMBER = "shard string, side int, home boolean, node long, many long, vector array<double>"
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def unit(column: pa.ListArray) -> pa.ListArray:
+    """Vectors of any dimensions, none empty or zero, scaled to length 1."""
+    if not len(column):
+        return column
+    flat, n = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(n)])
+    x = flat / np.repeat(np.maximum.reduceat(np.abs(flat), ends[:-1]), n)  # no overflow in the squares
+    x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, ends[:-1])), n)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
 
 
 def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -64,63 +83,75 @@ def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def stays(x: np.ndarray, c: np.ndarray, reach: float, guests: int) -> list[np.ndarray]:
-    """The clusters of each vector: its own, then the nearest borders within reach."""
-    far = ((x[:, None, :] - c[None]) ** 2).sum(2) if len(x) * len(c) * x.shape[1] < 1 << 22 else np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1))
+def stays(x: np.ndarray, c: np.ndarray, reach: float, guests: int) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters, whether it goes there) per vector: its own first, then the nearest borders, those within reach."""
+    far = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1))
     own = far.argmin(1)
     apart = 2 * np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(2))[own]
     border = np.where(apart > 0, (far - far[np.arange(len(x)), own][:, None]) / np.maximum(apart, 1e-12), np.inf)
     border[np.arange(len(x)), own] = -1
     order = np.argsort(border, axis=1, kind="stable")[:, : 1 + guests]
-    return [o[b[o] <= reach] for o, b in zip(order, border, strict=True)]
+    return order, np.take_along_axis(border, order, 1) <= reach
 
 
-def parted(x: np.ndarray, c: np.ndarray, reach: float) -> float:
-    """The share of the sample's links of which neither end visits the other's cluster; 0 if there are too few to tell."""
-    bound = 1 - reach * reach / 2
-    u, v = np.nonzero(np.triu(x @ x.T >= bound, 1))
-    if len(u) < 20:
-        return 0.0
-    where = np.zeros((len(x), len(c)), bool)
-    visits = stays(x, c, reach, GUESTS)
-    own = np.array([o[0] for o in visits])
-    for i, o in enumerate(visits):
-        where[i, o] = True
-    return 1 - float((where[u, own[v]] | where[v, own[u]]).mean())
+def parted(x: np.ndarray, node: np.ndarray, q: np.ndarray, query: np.ndarray, c: np.ndarray, reach: float) -> tuple[int, int]:
+    """The links between rows and queries, and of how many neither end visits the other's cluster."""
+    u, v = np.nonzero((x @ q.T >= 1 - reach * reach / 2) & (node[:, None] != query))
+    (at, goes), (at_q, goes_q) = stays(x, c, reach, GUESTS), stays(q, c, reach, GUESTS)
+    there = ((at[u] == at_q[v][:, :1]) & goes[u]).any(1) | ((at_q[v] == at[u][:, :1]) & goes_q[v]).any(1)
+    return len(u), int((~there).sum())
 
 
 def split(members: DataFrame, large: DataFrame, reach: float, shard: int) -> tuple[DataFrame, DataFrame]:
     """Members of the shards in ``large`` (shard, n) dealt to clusters of them, and the shards (shard, n) that k-means would tear."""
 
-    def centres(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.sort_values("node")["vector"].tolist())
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        x = np.stack(rows["vector"].tolist())
         k = int(min(FANOUT, len(x), -(-2 * (1 + GUESTS) * rows["n"].iloc[0] // shard)))  # room for guests
-        c = means(x, k)
-        flat = [] if k < 2 or parted(x, c, reach) > TORN else c.ravel().tolist()
-        return pd.DataFrame({"shard": pd.Series([rows["shard"].iloc[0]], dtype=object), "centres": [flat]})
-
-    drawn = members.join(F.broadcast(large), "shard").filter(F.pmod(F.xxhash64("node"), "n") < SAMPLE)
-    found = reliable(drawn.select("shard", "node", "n", "vector").groupBy("shard").applyInPandas(centres, "shard string, centres array<double>"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name, side, home, node, many, vector, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.array([vector])
-                visits = stays(x, np.array(flat).reshape(-1, x.shape[1]), reach, GUESTS * home)[0]  # a guest brings no guests
-                out += [(f"{name}/{i}", side, home and i == visits[0], node, many, vector) for i in visits.tolist()]
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "side", "home", "node", "many", "vector"), r, strict=True)) for r in out], schema=MEMBER_ARROW)
-
-    dealt = members.join(found.filter(F.size("centres") > 0), "shard").select("shard", "side", "home", "node", "many", "vector", "centres").mapInArrow(deal, MEMBER)
-    return dealt, large.join(found.filter(F.size("centres") > 0).select("shard"), "shard", "left_anti")
+        return pd.DataFrame({"shard": pd.Series([rows["shard"].iloc[0]], dtype=object), "n": [rows["n"].iloc[0]], "centres": [means(x, k).ravel().tolist()], "query": [rows["node"].tolist()[:JUDGES]], "queries": [x[:JUDGES].ravel().tolist()]})
+
+    def deal(rows: pa.Table, models: pa.Table) -> pa.Table:
+        if not len(rows) or not len(models):
+            return DEALT_ARROW.empty_table()
+        x, node, home = matrix(rows["vector"]), rows["node"].to_numpy(), rows["home"].to_numpy()
+        c, q = (np.array(models[n][0].values.to_numpy()).reshape(-1, x.shape[1]) for n in ("centres", "queries"))
+        query = np.array(models["query"][0].values.to_numpy())
+        links, torn = parted(x, node, q, query, c, reach) if len(c) > 1 else (1, 1)  # one cluster would be no split
+        at, goes = stays(x, c, reach, GUESTS)
+        goes[:, 1:] &= home[:, None]  # a guest brings no guests
+        row, place = np.nonzero(goes)
+        name = rows["shard"][0].as_py()
+        out = rows.take(pa.array(row))
+        columns = {n: out[n].combine_chunks() for n in ("side", "node", "many", "vector")}
+        columns |= {"shard": pa.array([f"{name}/{i}" for i in at[row, place].tolist()], pa.string()), "home": pa.array(home[row] & (place == 0)), "was": pa.array([name] * len(row), pa.string())}
+        columns |= {n: pa.nulls(len(row), pa.int64()) for n in ("links", "torn")}
+        found = pa.table({n: columns[n] for n in DEALT_ARROW.names}, schema=DEALT_ARROW)
+        judged = {"was": pa.array([name]), "links": pa.array([links]), "torn": pa.array([torn])}
+        return pa.concat_tables([found, pa.table([judged.get(f.name, pa.nulls(1, f.type)) for f in DEALT_ARROW], schema=DEALT_ARROW)])
+
+    rows = members.join(F.broadcast(large) if large.count() <= SMALL_SIDE else large, "shard")
+    drawn = rows.filter(F.pmod(F.xxhash64("node"), "n") < SAMPLE).select("shard", "node", "n", "vector")
+    models = reliable(drawn.groupBy("shard").applyInPandas(model, "shard string, n long, centres array<double>, query array<long>, queries array<double>"))
+    salts = F.ceil(F.col("n") / DEALT).cast("int")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), salts).cast("int")).drop("n")
+    right = models.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    dealt = reliable(left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(deal, f"{MEMBER}, was string, links long, torn long"))
+    judged = dealt.filter("node IS NULL").groupBy("was").agg(F.sum("links").alias("links"), F.sum("torn").alias("torn"))
+    judged = reliable(judged.filter(F.col("torn") > TORN * F.col("links")).select(F.col("was").alias("shard")))
+    kept = dealt.filter("node IS NOT NULL").join(judged, F.col("was") == judged["shard"], "left_anti").select("shard", "side", "home", "node", "many", "vector")
+    return kept, large.join(judged, "shard", "left_semi")
 
 
 MEMBER_ARROW = pa.schema([("shard", pa.string()), ("side", pa.int32()), ("home", pa.bool_()), ("node", pa.int64()), ("many", pa.int64()), ("vector", pa.list_(pa.float64()))])
+DEALT_ARROW = pa.schema([*MEMBER_ARROW, ("was", pa.string()), ("links", pa.int64()), ("torn", pa.int64())])
+#: Rows up to which the names of large shards are broadcast.
+SMALL_SIDE = 100_000
 
 
 def by_groups(members: DataFrame, large: DataFrame, shard: int) -> DataFrame:
     """Members of the shards in ``large`` dealt to groups, and a shard for each pair of groups. The sides of a pair are 1 and 2."""
-    rows = members.join(F.broadcast(large), "shard").withColumn("groups", F.ceil(F.col("n") * 2 / shard).cast("int"))
+    rows = members.join(F.broadcast(large) if large.count() <= SMALL_SIDE else large, "shard").withColumn("groups", F.ceil(F.col("n") * 2 / shard).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "groups").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -259,18 +290,19 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def adjacency(members: DataFrame) -> DataFrame:
-    """(node, links): neighbours in all shards together."""
+    """(shard, node, links): a node's neighbours in all cluster shards together, or in its one shard of groups."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         node = rows["node"].to_numpy()
-        if len(node) < 2:
-            return pd.DataFrame({"node": node, "links": [[] for _ in node]})
-        lists = pruned(np.stack(rows["vector"].tolist()), DEGREE, ALPHA)
-        return pd.DataFrame({"node": node, "links": [node[one].tolist() for one in lists]})
+        lists = pruned(np.stack(rows["vector"].tolist()), DEGREE, ALPHA) if len(node) > 1 else [np.zeros(0, np.int64)]
+        return pd.DataFrame({"shard": rows["shard"], "node": node, "links": [node[one].tolist() for one in lists]})
 
-    local = members.groupBy("shard").applyInPandas(run, "node long, links array<long>")
-    return local.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    local = reliable(members.groupBy("shard").applyInPandas(run, "shard string, node long, links array<long>"))
+    grouped = F.col("shard").rlike("/g[0-9]+-[0-9]+$")
+    clusters = local.filter(~grouped)
+    united = clusters.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    return clusters.select("shard", "node").join(united, "node").select("shard", "node", "links").union(local.filter(grouped))
 
 
 FOUND = "kind long, u long, v long, n long, m long"
@@ -313,7 +345,7 @@ def searched(members: DataFrame, lists: DataFrame, bound: float) -> DataFrame:
             "u": np.concatenate([node[linked], node[inner], node[one]]), "v": np.concatenate([node[linked], node[label[inner]], node[two]]),
             "n": np.concatenate([count[linked], 0 * inner, many[one]]), "m": np.concatenate([0 * linked, 0 * inner, many[two]])})
 
-    return members.join(lists, "node").groupBy("shard").applyInPandas(run, FOUND)
+    return members.join(lists, ["shard", "node"]).groupBy("shard").applyInPandas(run, FOUND)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -322,14 +354,17 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("row", "label", vector.alias("vector")).filter(F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).filter(F.coalesce(fine, F.lit(False)))
 
 
-def near_vectors(embeddings: DataFrame, bound: float = 0.98, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept per row of (vec_id, embedding, label)."""
+def near_vectors(embeddings: DataFrame, bound: float = 0.98, shard: int = SHARD, audited: int = AUDITED) -> DataFrame:
+    """vec_id, n_links, component_id, kept per row of (vec_id, embedding, label).
+
+    RuntimeError if less than ``RECALL`` of the links of about ``audited`` nodes have been found (0: no audit).
+    """
+    spark, already = embeddings.sparkSession, kept_tables()
     rows = reliable(embeddings.select("vec_id", "embedding", "label").withColumn("row", F.monotonically_increasing_id()))
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [unit([v])[0].tolist() for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.list_(pa.float64()))], names=["row", "place", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit(batch.column(2))], names=["row", "place", "vector"])
 
     place = F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string"))
     clean = usable(rows).select("row", place.alias("place"), "vector").mapInArrow(scaled, "row long, place string, vector array<double>")
@@ -339,37 +374,47 @@ def near_vectors(embeddings: DataFrame, bound: float = 0.98, shard: int = SHARD)
     members = reliable(shards(nodes, reach, shard))
     lists = reliable(adjacency(members))
     found = reliable(searched(members, lists, bound))
+    forget(members, lists)
     pairs = found.filter(F.col("kind") == PAIR).select("u", "v", "n", "m").distinct()
     counts = found.filter(F.col("kind") == COUNT).select(F.col("u").alias("node"), "n")
-    counts = counts.union(pairs.select("u", "m")).union(pairs.select("v", "n")).groupBy("node").agg(F.sum("n").alias("n"))
+    counts = reliable(counts.union(pairs.select("u", "m")).union(pairs.select("v", "n")).groupBy("node").agg(F.sum("n").alias("n")))
+    if audited and (share := recall(nodes, counts, bound, audited)) < RECALL:
+        raise RuntimeError(f"only {share:.3f} of the links of audited vectors were found")
     linked = components(found.filter(F.col("kind") != COUNT).select("u", "v"))
     per_node = nodes.join(counts, "node", "left").join(linked, "node", "left").select("place", "vector", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     per_row = clean.join(per_node, ["place", "vector"]).select("row", "n_links", "c")
     out = reliable(rows.select("row", "vec_id").join(per_row, "row", "left").select("row", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", -F.col("row") - 1).alias("c")))
+    tidy(spark, already, (out,))
     heads = out.groupBy("c").agg(F.min("vec_id").alias("component_id"))
     return out.join(heads, "c").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def audit(spark: SparkSession, embeddings: DataFrame, found: DataFrame, bound: float = 0.98, queries: int = 200) -> float:
-    """Share of the links of about ``queries`` vectors, known by brute force over all rows, that ``found`` has.
+def recall(nodes: DataFrame, counts: DataFrame, bound: float, queries: int = AUDITED) -> float:
+    """Share of the links of about ``queries`` nodes, known by brute force over all, that ``counts`` (node, n) has.
 
-    Only the queries, a bounded number, are broadcast; every row of the table is held against those of its label.
+    Only the queries, a bounded number, are broadcast; every node is held against those of its label and dimension.
     """
-    rows = embeddings.select(F.col("vec_id").alias("row"), "embedding", "label")
-    n = max(1, rows.count())
-    drawn = [(r["label"], len(r["vector"]), r["row"], unit([r["vector"]])[0]) for r in usable(rows.filter(F.pmod(F.xxhash64("row"), F.lit(n)) < queries)).collect()]
-    held = spark.sparkContext.broadcast(drawn)
+    n = max(1, nodes.count())
+    drawn = nodes.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n)) < queries).select("place", "node", "vector").toArrow()
+    asked: dict[str, list[tuple]] = {}
+    for place, node, vector in zip(*(drawn[c].to_pylist() for c in ("place", "node", "vector")), strict=True):
+        asked.setdefault(place, []).append((node, vector))
+    held = nodes.sparkSession.sparkContext.broadcast({p: (np.array([k for k, _ in rows]), np.array([v for _, v in rows])) for p, rows in asked.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, int] = {}
-            for row, label, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = unit([vector])[0]
-                for other, d, own, y in held.value:
-                    if other == label and d == len(x) and own != row and float(x @ y) >= bound:
-                        found[own] = found.get(own, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.int64())], names=["row", "n"])
-
-    truth = usable(rows).select("row", "label", "vector").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
-    got = truth.join(found.select("vec_id", "n_links"), F.col("row") == F.col("vec_id")).agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
+            places = np.array(batch.column(0).to_pylist(), object)
+            for place, (query, q) in held.value.items():
+                here = pa.array(np.flatnonzero(places == place))
+                if len(here):
+                    own = batch.take(here)
+                    node, many = own.column(1).to_numpy(), own.column(2).to_numpy()
+                    near = (q @ matrix(own.column(3)).T >= bound) & (query[:, None] != node)
+                    for k, links in zip(query.tolist(), (near @ many).tolist(), strict=True):
+                        found[k] = found.get(k, 0) + links
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.int64())], names=["query", "links"])
+
+    truth = nodes.select("place", "node", "many", "vector").mapInArrow(run, "query long, links long").groupBy("query").agg(F.sum("links").alias("links"))
+    got = truth.join(counts, F.col("query") == F.col("node"), "left").agg(F.sum(F.least("links", F.coalesce("n", F.lit(0)))), F.sum("links")).first()
     return 1.0 if not got[1] else got[0] / got[1]

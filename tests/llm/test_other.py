@@ -70,11 +70,32 @@ def test_dense_ball_in_groups(spark):
     assert got == brute_links(rows)
 
 
-def test_audit(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    found = queries.QUERIES["op2_graph_dedup"](spark, sf)
-    assert graph_dedup.audit(spark, rows, found, bound=0.98) >= 0.9
-    assert graph_dedup.audit(spark, rows, found.withColumn("n_links", F.lit(0)), bound=-1.0) < 0.1
+def test_audit(spark, monkeypatch):
+    """Links that were not found make the operator fail."""
+    rows = [(i, v, 0) for i, v in enumerate(clusters(5, 20, 6))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = spark.createDataFrame([("p", i, 1, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v, _ in rows], "place string, node long, many long, vector array<double>")
+    counts = spark.createDataFrame([(i, n) for i, n, _, _ in brute_links(rows)], "node long, n long")
+    assert graph_dedup.recall(nodes, counts, 0.98) == 1.0
+    assert graph_dedup.recall(nodes, counts.filter("node < 60"), 0.98) < 0.8
+    monkeypatch.setattr(graph_dedup, "expanded", lambda x, links, q, found, bound: (np.arange(0), np.arange(0)))
+    with pytest.raises(Exception, match="links of audited vectors"):
+        graph_dedup.near_vectors(table)
+
+
+def test_several_shards_at_the_settings_of_the_query(spark):
+    """Labels of more than one shard: clusters with guests, united lists and search; all links by brute force."""
+    random = np.random.default_rng(8)
+    base = random.normal(size=(4000, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    # chains of near copies, so that links cross the borders of clusters
+    rows = [(3 * i + k, (v + random.normal(size=24) * 0.02 * k).tolist(), 0) for i, v in enumerate(base) for k in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = sum(int((x[a : a + 1000] @ x.T >= 0.98).sum()) for a in range(0, len(x), 1000)) - len(x)
+    got = sum(r.n_links for r in graph_dedup.near_vectors(table).collect())
+    assert len(rows) > 5 * graph_dedup.SHARD and 0.99 * want <= got <= want
 
 
 def test_components(spark):
