@@ -6,14 +6,20 @@ sum of the logarithms.
 
 1. Every ``CHUNK`` bytes of what a task reads are a chunk, bundled and compressed. A chunk explodes its texts into n-grams
    and collapses equal ones, so a frequent n-gram moves once per chunk, however many documents have it.
-2. The count tables are partitioned by n-gram hash; a partition adds up the chunks' counts.
-3. The partition answers each chunk with the totals of the n-grams that it asked for, in their order; the chunk joins them to its
-   exploded n-grams and sums per document.
-
-Words are lower-cased (A-Z) runs without white space. N-grams are hashed to so many bits that one in 2^24 meets another, 64 at most.
-Null texts and texts without words score 0 over 0
-words. Repeated rows count, and are scored, as often as they occur. An empty table gives an empty result. Other columns
-are not read. A chunk holds whole documents, so its memory is bounded by ``CHUNK`` or the longest document.
+2. The count tables are partitioned by n-gram hash: the relation (n, hash, count) is dealt by ranges of the hash, in rows that hold
+   all of a chunk's n-grams of one order and partition, and a partition adds up equal hashes. ``count_table`` gives it with a row per n-gram.
+3. The join with the exploded n-grams is on (partition, hash) too: the partition gives each chunk the totals of the n-grams
+   that it has, in their order, and the chunk sums them per document.
+
+With a row per n-gram the join alone would move 14 bytes for each of 2.3 distinct n-grams a word and chunk, twice; rows of
+n-grams in order need 6, since sorted hashes are stored as differences.
+
+Words are lower-cased (A-Z) runs without white space. N-grams are hashed to 64 bits, whatever the corpus.
+Null texts and texts without words score 0 over 0 words. Repeated rows count, and are scored, as often as they occur. Ties don't
+matter, since nothing is ranked. An empty table gives an empty result. Other columns
+are not read, whatever their names. A chunk holds whole documents, so its memory is bounded by ``CHUNK`` or the longest document.
+Chunks are cut from what tasks read, so an input whose rows come out of a shuffle, and could come in another order if an executor
+is lost, is written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -26,13 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import WORD, mixed, utf8
+from rarebucket.llm.common import WORD, mixed, reliable, utf8
 from rarebucket.llm.shingles import words
 
-CHUNK, PART = 4 << 20, 1_500_000
+CHUNK, PART = 16 << 20, 4_000_000
 BACKOFF, LEAST, ORDER = 0.4, 2, 3
-#: Bits of a hash beyond those that number all n-grams.
-SPARE = 24
 
 
 def squeezed(data: bytes) -> bytes:
@@ -115,83 +119,112 @@ def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, row, at
 
 
-def asked(texts: pa.Array, parts: int, bits: int) -> list[tuple]:
+def asked(grams: list[np.ndarray], at: np.ndarray, parts: int) -> Iterator[tuple]:
     """Per order: the distinct n-grams in order, how often each occurs, where each partition's begin, and each word's place among them (-1: too few words)."""
-    grams, _, at = ngrams(texts)
-    width = np.uint64(-(-(1 << bits) // parts))
-    out = []
+    width = np.uint64(-(-(1 << 64) // parts))
     for n, gram in enumerate(grams, 1):
         whole = at >= n - 1
-        found, place, count = np.unique(gram[whole] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        found, place, count = np.unique(gram[whole], return_inverse=True, return_counts=True)
         bounds = np.searchsorted(found // width, np.arange(parts + 1).astype(np.uint64))
         where = np.full(len(gram), -1)
         where[whole] = place
-        out.append((found, count, bounds, where))
-    return out
+        yield found, count, bounds, where
 
 
 QUESTION = "chunk long, n int, part int, grams binary, counts binary"
 ANSWER = "chunk long, n int, part int, counts binary"
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs`` as it is if its rows come straight from a scan, else written to the shared folder."""
+    return reliable(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+def exploded(dealt: DataFrame, parts: int) -> DataFrame:
+    """Rows of QUESTION: a chunk's n-grams of one order and partition, with how often each occurs in the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                rows = pa.Table.from_batches([batch.slice(k, 1)])
+                chunk, (grams, _, at) = rows["chunk"][0].as_py(), ngrams(texts_of(rows)[1])
+                for n, (found, count, bounds, _) in enumerate(asked(grams, at, parts), 1):
+                    which = np.flatnonzero(np.diff(bounds)).tolist()
+                    slices = [(bounds[p], bounds[p + 1]) for p in which]
+                    columns = (pa.array([chunk] * len(which), pa.int64()), pa.array([n] * len(which), pa.int32()), pa.array(which, pa.int32()), pa.array([steps(found[a:b]) for a, b in slices], pa.binary()), pa.array([planes(count[a:b]) for a, b in slices], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(list(columns), names=["chunk", "n", "part", "grams", "counts"])
+
+    return dealt.mapInArrow(run, QUESTION)
+
+
+def added(rows: pa.Table) -> Iterator[tuple[int, list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order of a partition: (n, its rows, their lengths, all n-grams in order, their totals, the place of each asked among them)."""
+    orders = rows["n"].to_numpy()
+    grams, counts = rows["grams"], rows["counts"]
+    for n in np.unique(orders).tolist():
+        of = np.flatnonzero(orders == n).tolist()
+        hashes = [from_steps(grams[i].as_py()) for i in of]
+        found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.bincount(place, np.concatenate([from_planes(counts[i].as_py()) for i in of]).astype(np.float64)).astype(np.int64)
+        yield n, of, [len(h) for h in hashes], found, sums, place
+
+
+def dealt_out(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, part_grams: int) -> tuple[DataFrame, int, int]:
+    """(chunks, words of the corpus, partitions of the count tables)."""
+    own = settled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    total = own.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    return bundled(own, chunk_bytes), total, max(2, -(-total * ORDER // part_grams))
+
+
+def count_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 1, chunk_bytes: int = CHUNK, part_grams: int = PART) -> DataFrame:
+    """(n, gram, count): the n-grams that occur ``least`` times or more, by their hash."""
+    dealt, _, parts = dealt_out(docs, doc_id, text, chunk_bytes, part_grams)
+
+    def add(rows: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([n] * int((sums >= least).sum()), pa.int32()), pa.array(found[sums >= least].view(np.int64)), pa.array(sums[sums >= least])], ["n", "gram", "count"]) for n, _, _, found, sums, _ in added(rows)]
+        return pa.concat_tables(out)
+
+    return exploded(dealt, parts).groupBy("part").applyInArrow(add, "n int, gram long, count long")
+
+
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, part_grams: int = PART) -> DataFrame:
     """(doc_id, n_words, log_score) per row of ``docs``."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    total = own.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    parts, bits = max(2, -(-total * ORDER // part_grams)), min(64, (total * ORDER).bit_length() + SPARE)
-    dealt = bundled(own, chunk_bytes)
-
-    def ask(rows: pa.Table) -> pa.Table:
-        chunk = rows["chunk"][0].as_py()
-        out = []
-        for n, (found, count, bounds, _) in enumerate(asked(texts_of(rows)[1], parts, bits), 1):
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                a, b = bounds[p], bounds[p + 1]
-                out.append((chunk, n, p, steps(found[a:b]), planes(count[a:b])))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "n", "part", "grams", "counts"])
+    dealt, total, parts = dealt_out(docs, doc_id, text, chunk_bytes, part_grams)
 
     def add(rows: pa.Table) -> pa.Table:
         answers: list = [None] * len(rows)
-        orders = rows["n"].to_numpy()
-        grams, counts = rows["grams"].to_pylist(), rows["counts"].to_pylist()
-        for n in np.unique(orders).tolist():
-            of = np.flatnonzero(orders == n).tolist()
-            asked_for = [from_steps(grams[i]) for i in of]
-            _, place = np.unique(np.concatenate(asked_for), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([from_planes(counts[i]) for i in of]).astype(np.float64)).astype(np.uint64)
-            ends = np.cumsum([len(a) for a in asked_for])
-            for i, part in zip(of, np.split(sums[place], ends[:-1]), strict=True):
+        for _, of, sizes, _, sums, place in added(rows):
+            for i, part in zip(of, np.split(sums[place], np.cumsum(sizes)[:-1]), strict=True):
                 answers[i] = planes(part)
         return pa.table([rows["chunk"], rows["n"], rows["part"], pa.array(answers, pa.binary())], ["chunk", "n", "part", "counts"])
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = texts_of(rows)
-        grams = asked(texts, parts, bits)
-        _, row, at = ngrams(texts)
-        f = np.zeros((ORDER + 1, len(row)))
-        order, part, counts = answers["n"].to_numpy(), answers["part"].to_numpy(), answers["counts"].to_pylist()
-        for n, (found, _, _, where) in enumerate(grams, 1):
+        grams, row, at = ngrams(texts)
+        order, part, counts = answers["n"].to_numpy(), answers["part"].to_numpy(), answers["counts"]
+        f = []
+        for n, (found, _, _, where) in enumerate(asked(grams, at, parts), 1):
             of = np.flatnonzero(order == n)
-            sums = np.concatenate([np.zeros(0, np.uint64), *(from_planes(counts[i]) for i in of[np.argsort(part[of], kind="stable")].tolist())])
+            sums = np.concatenate([np.zeros(0, np.uint64), *(from_planes(counts[i].as_py()) for i in of[np.argsort(part[of], kind="stable")].tolist())])
             if len(sums) != len(found):
-                raise RuntimeError("a chunk got other counts than it asked for")
-            f[n] = np.where(where >= 0, sums.astype(np.float64)[where] if len(found) else 0, 0)
+                raise RuntimeError("a chunk got other counts than it has n-grams")
+            f.append(np.where(where >= 0, sums.astype(np.float64)[where], 0) if len(found) else np.zeros(len(row)))
+            grams[n - 1] = where = None
         value = np.full(len(row), np.nan)
         back = np.zeros(len(row))  # how often the word has backed off
         for n in range(ORDER, 1, -1):
             can = np.isnan(value) & (at >= n - 1)
-            here = can & (f[n] >= LEAST)
+            here = can & (f[n - 1] >= LEAST)
             before = np.zeros(len(row))
-            before[1:] = f[n - 1][:-1]
-            value[here] = np.log(f[n][here] / before[here])
+            before[1:] = f[n - 2][:-1]
+            value[here] = np.log(f[n - 1][here] / before[here])
             value[here] += back[here] * np.log(BACKOFF)
             back[can & ~here] += 1
         last = np.isnan(value)
-        value[last] = np.log(f[1][last] / total) + back[last] * np.log(BACKOFF)
+        value[last] = np.log(f[0][last] / total) + back[last] * np.log(BACKOFF)
         n_words = np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
         sums = np.bincount(row, value, minlength=len(texts)) if len(row) else np.zeros(len(texts))
         return pa.table([ids, pa.array(n_words.astype(np.int64)), pa.array(sums.astype(np.float64))], ["doc_id", "n_words", "log_score"])
 
-    totals = dealt.groupBy("chunk").applyInArrow(ask, QUESTION).groupBy("part").applyInArrow(add, ANSWER)
+    totals = exploded(dealt, parts).groupBy("part").applyInArrow(add, ANSWER)
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")

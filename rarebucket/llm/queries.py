@@ -22,7 +22,9 @@ def op2_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    rows = lm_score.scores(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return rows.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_score"))
 
 
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,5 +162,5 @@ WITH d AS (
 ), t AS (
   SELECT r, sum(v) AS v FROM s GROUP BY r
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log_score FROM d LEFT JOIN t ON d.r = t.r
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log_score, round(coalesce(v / len(w), 0), 6) AS mean_score FROM d LEFT JOIN t ON d.r = t.r
 """

@@ -224,6 +224,17 @@ def test_stupid_backoff(spark):
         assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-9)
 
 
+def test_count_table(spark):
+    """Counts per order against a plain count, whatever the chunks and partitions."""
+    rows = [words(r[1]) for r in odd_texts()]
+    for n in (1, 2, 3):
+        want = sorted(Counter(tuple(w[i : i + n]) for w in rows for i in range(len(w) - n + 1)).values())
+        for chunk, part in ((16 << 20, 10**6), (3000, 500)):
+            got = lm_score.count_table(odd_documents(spark), chunk_bytes=chunk, part_grams=part).filter(F.col("n") == n)
+            assert sorted(r["count"] for r in got.collect()) == want
+    assert lm_score.count_table(odd_documents(spark), least=3).agg(F.min("count")).first()[0] == 3
+
+
 def test_stupid_backoff_sql(spark, sf):
     same_rows(queries.QUERIES["op3_stupid_backoff"](spark, sf).toPandas(), duck(sf).sql(queries.SQL["op3_stupid_backoff"]).df())
 
