@@ -1,11 +1,13 @@
 """Media columns: byte payloads kept as lossless WebP images, read back as pixel arrays, with features of the pixels.
 
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, are the samples of an image of 144 ARGB
-pixels a row. An image holds 16,384 rows at most, so a payload of over 9.4 MB is several files on end. Everything that is
-reported about the payload comes from decoding the stored bytes.
+pixels a row. An image holds 16,384 rows at most, so a payload of over 9.4 MB is several files on end. Transforms and
+colour cache are chosen for each image by its own samples. Everything that is
+reported about the payload comes from decoding the stored bytes: prefix codes, back-references and cache, then the inverse transforms.
 
 Null and empty texts are one row of bytes 255. Equal texts have equal files, whatever they are stored next to.
-Repeated rows give repeated results, an empty table an empty one; other columns are not read.
+Repeated rows give repeated results, an empty table an empty one; other columns are not read, whatever their names. A long text is
+never cut: its images are written and read one after the other.
 """
 
 from __future__ import annotations

@@ -1,9 +1,10 @@
 """Lossless WebP (RIFF container, VP8L bit stream), read and written with numpy.
 
 The reader takes any stream of the format: prefix codes (simple and full, one group or many), back-references,
-colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Literals are read in bulk: for
+colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Pixels are read in bulk: for
 every bit position of a window the code lengths of a whole pixel are looked up at once, and following the chain from pixel
-to pixel then takes one step each. Images with a colour cache or several groups of codes are read pixel by pixel.
+to pixel then takes one step each. What the colour cache stands for is found afterwards, for all pixels at once. Images with
+several groups of codes are read pixel by pixel.
 
 Pixels are 32-bit ARGB numbers. Damaged or cut streams raise ValueError.
 """
@@ -220,8 +221,8 @@ def read_pixels(bits: Reader, width: int, height: int, top: bool) -> np.ndarray:
         groups = int(which.max()) + 1
     codes = [read_group(bits, cache) for _ in range(groups)]
     out = np.zeros(width * height, np.uint32)
-    if which is None and not cache:
-        read_bulk(bits, codes[0], out, width)
+    if which is None:
+        read_bulk(bits, codes[0], out, width, cache)
         return out
     table = np.zeros(1 << cache, np.uint32) if cache else None
     at, last = 0, 0  # pixels before last are in the cache
@@ -245,9 +246,47 @@ def read_pixels(bits: Reader, width: int, height: int, top: bool) -> np.ndarray:
     return out
 
 
-def read_bulk(bits: Reader, codes: tuple[Code, ...], out: np.ndarray, width: int) -> None:
-    """Fill ``out`` from a stream with one group of codes and no cache."""
+def slots(pixels: np.ndarray, cache: int) -> np.ndarray:
+    """The places of pixels in a colour cache of 2^cache entries."""
+    return pixels * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache)
+
+
+def undo_cache(out: np.ndarray, asked: np.ndarray, copies: list[tuple[int, int, int]], cache: int) -> None:
+    """Fill in the pixels that stand for an entry of the cache (``asked`` >= 0) or are copies (first, how many, distance).
+
+    An entry is the latest pixel before with the same place, and every pixel's place is known without its
+    value: a literal's from the literal, the others' from the stream. So each such pixel points to the one that it repeats.
+    """
+    place = np.where(asked >= 0, asked, slots(out, cache).astype(np.int64))
+    source, own = np.arange(len(out)), asked < 0
+    for at, n, back in copies:
+        copy(place, at, n, back)
+        source[at : at + n] = np.resize(np.arange(at - back, at), n) if back < n else np.arange(at - back, at - back + n)
+    order = np.argsort(place, kind="stable")
+    first = np.ones(len(out), bool)
+    first[1:] = place[order[1:]] != place[order[:-1]]
+    begins = np.maximum.accumulate(np.where(first, np.arange(len(out)), 0))
+    latest = np.maximum.accumulate(np.where(own[order], np.arange(len(out)), -1))
+    hit = ~own[order]
+    none = hit & (latest < begins)  # an entry that nothing was put in is 0
+    source[order[hit]] = order[np.maximum(latest[hit], 0)]
+    empty = np.zeros(len(out), bool)
+    empty[order[none]] = True
+    source[empty] = np.flatnonzero(empty)
+    out[empty] = 0
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    out[:] = out[source]
+
+
+def read_bulk(bits: Reader, codes: tuple[Code, ...], out: np.ndarray, width: int, cache: int = 0) -> None:
+    """Fill ``out`` from a stream with one group of codes."""
     green, at, n = codes[0], 0, len(out)
+    entries = LITERALS + LENGTHS  # from here on, symbols are entries of the cache
+    asked, copies = np.full(n if cache else 0, -1), []
     if not any(c.width for c in codes[:4]) and green.symbol[0] < LITERALS:
         out[:] = int(codes[3].symbol[0]) << 24 | int(codes[1].symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(codes[2].symbol[0])
         return
@@ -277,8 +316,10 @@ def read_bulk(bits: Reader, codes: tuple[Code, ...], out: np.ndarray, width: int
             after = one
             for c in codes[1:4]:
                 after = steps(c)[after]
-        special = green.symbol[every & np.uint32((1 << green.width) - 1)] >= LITERALS
-        after[special] = -1
+        symbol = green.symbol[every & np.uint32((1 << green.width) - 1)]
+        if cache:
+            after = np.where(symbol >= entries, one, after)
+        after[(symbol >= LITERALS) & (symbol < entries)] = -1
         after[-8 * 10 :] = -2  # so near the end of the window a pixel may be cut
         go = memoryview(after)
         pos, begun, met = bits.at & 7, at, []
@@ -292,8 +333,11 @@ def read_bulk(bits: Reader, codes: tuple[Code, ...], out: np.ndarray, width: int
         if met:
             where = np.array(met, np.int32)
             parts = []
+            if cache:
+                hit = symbol[where] >= entries
+                asked[begun : begun + len(met)] = np.where(hit, symbol[where] - entries, -1)
             for c in codes[:4]:
-                k = every[where] & np.uint32((1 << c.width) - 1)
+                k = every[np.minimum(where, ends - 1)] & np.uint32((1 << c.width) - 1)
                 parts.append(c.symbol[k].astype(np.uint32))
                 where = where + c.length[k]
             out[begun : begun + len(met)] = parts[3] << np.uint32(24) | parts[1] << np.uint32(16) | parts[0] << np.uint32(8) | parts[2]
@@ -304,10 +348,14 @@ def read_bulk(bits: Reader, codes: tuple[Code, ...], out: np.ndarray, width: int
         if at < n and go[pos] == -1:
             s = bits.symbol(green)
             length = bits.value(s - LITERALS)
-            copy(out, at, length, distance(bits.value(bits.symbol(codes[4])), width))
+            back = distance(bits.value(bits.symbol(codes[4])), width)
+            copy(out, at, length, back)
+            copies.append((at, length, back))
             at += length
         elif at < n and not met and bits.at >= bits.end - 1:
             raise ValueError("the stream ends early")
+    if cache:
+        undo_cache(out, asked, copies, cache)
 
 
 def halves(a: int, b: int) -> int:
@@ -371,8 +419,19 @@ def guesses(mode_at, done, x: int, y: int, width: int) -> int:
 
 
 def undo_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, step: int) -> np.ndarray:
-    across, rest = -(-width >> step), pixels.tolist()
-    mode = (modes >> 8 & 15).tolist()
+    mode = modes >> 8 & 15
+    if (mode == mode[0]).all() and mode[0] in (1, 2):  # left or above throughout: running sums
+        rest = pixels.copy()
+        rest[0] = plus(int(rest[0]), BLACK)
+        rest = rest.view(np.uint8).reshape(-1, width, 4)
+        rest[0] = np.cumsum(rest[0], axis=0, dtype=np.uint8)
+        if mode[0] == 2:
+            rest = np.cumsum(rest, axis=0, dtype=np.uint8)
+        else:
+            rest[:, 0] = np.cumsum(rest[:, 0], axis=0, dtype=np.uint8)
+            rest[1:] = np.cumsum(rest[1:], axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(rest).view(np.uint32).ravel()
+    across, rest, mode = -(-width >> step), pixels.tolist(), mode.tolist()
     look = lambda x, y: mode[(y >> step) * across + (x >> step)]
     for i in range(len(rest)):
         rest[i] = plus(rest[i], guesses(look, rest, i % width, i // width, width))
@@ -686,73 +745,179 @@ def text_weights() -> np.ndarray:
     return weight
 
 
-_book: list[tuple] = []
+#: How an image is written: as it is, with a colour cache, less the pixel above, red and blue less green, as indexes of a palette.
+PLAIN, CACHED, ABOVE, CROSSED, INDEXED = range(5)
+#: Bits of the colour cache, colours of a palette (then two or more indexes fit a pixel), one in how many pixels must be found in the cache.
+CACHE, COLOURS, HITS = 9, 16, 16
 
+_books: list[list[tuple]] = []
 
-def text_book() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(words and lengths of green, words and lengths of the others, the bits before the pixels, how many)."""
-    if _book:
-        return _book[0]
-    weight = text_weights()
-    green = np.concatenate([weight, np.full(LENGTHS, 20)])
-    books = [code_lengths(green, 15), code_lengths(weight, 15)]
-    out = Writer()
-    out.put(0, 3)  # no transform, no cache, one group of codes
-    put_code(out, books[0])
-    for _ in range(3):
-        put_code(out, books[1])
-    put_code(out, np.eye(1, DISTANCES, 1, dtype=np.int64)[0])  # always the pixel to the left, in no bits
-    _book.append((code_words(books[0]).astype(np.uint64), books[0], code_words(books[1]).astype(np.uint64), books[1], *out.number()))
-    return _book[0]
+
+def books() -> list[tuple]:
+    """Per way of writing: (words and lengths of green, red, blue and alpha, the bits before the pixels, how many).
+
+    The codes follow from the way alone, so that an image's bytes depend on its own samples. A palette's bits come before those.
+    """
+    if _books:
+        return _books[0]
+    text, zeros = text_weights(), np.full(256, 20, np.int64)
+    zeros[0] = 20_000
+    runs, entries, nothing = np.full(LENGTHS, 20), np.full(1 << CACHE, 15), np.eye(1, 256, dtype=np.int64)[0]
+    weights = {
+        PLAIN: (np.concatenate([text, runs]), text, text, text), CACHED: (np.concatenate([text, runs, entries]), text, text, text),
+        ABOVE: (np.concatenate([zeros, 100 * runs]), zeros, zeros, zeros), CROSSED: (np.concatenate([text, runs]), zeros, zeros, text),
+        INDEXED: (np.concatenate([np.full(256, 20), 20 * runs]), nothing, nothing, nothing[::-1]),
+    }
+    found = []
+    for way in range(len(weights)):
+        out = Writer()
+        if way == ABOVE:
+            for value, n in ((1, 1), (PREDICTOR, 2), (7, 3)):
+                out.put(value, n)
+            put_pixels(out, np.array([2 << 8], np.uint32), 1)  # one mode for all blocks, in no bits
+        elif way == CROSSED:
+            for value, n in ((1, 1), (CROSS, 2), (7, 3)):
+                out.put(value, n)
+            put_pixels(out, np.array([32 << 8 | 32], np.uint32), 1)  # green to red and to blue by a factor of one
+        out.put(0, 1)
+        out.put(way == CACHED, 1)
+        if way == CACHED:
+            out.put(CACHE, 4)
+        out.put(0, 1)  # one group of codes
+        lengths = [code_lengths(w) for w in weights[way]]
+        for one in lengths:
+            put_code(out, one)
+        put_code(out, np.eye(1, DISTANCES, 1, dtype=np.int64)[0])  # always the pixel to the left, in no bits
+        lengths = [one if np.count_nonzero(one) > 1 else 0 * one for one in lengths]
+        table = np.zeros((2, 4, LITERALS + LENGTHS + (1 << CACHE)), np.int64)
+        for k, one in enumerate(lengths):
+            table[0, k, : len(one)], table[1, k, : len(one)] = code_words(one), one
+        found.append((table[0].astype(np.uint64), table[1], *out.number()))
+    _books.append(found)
+    return found
+
+
+def ways(pixels: np.ndarray, starts: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(way per image, whether each pixel is in the cache). ``same``: whether a pixel repeats the one before it."""
+    n, images = len(pixels), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    new = ~same
+    literals = np.add.reduceat(new, starts[:-1], dtype=np.int64)
+    share = lambda what: np.add.reduceat(what & new, starts[:-1], dtype=np.int64)
+    below = np.arange(n) - starts[images] >= ROW // 4
+    above = np.zeros(n, bool)
+    above[ROW // 4 :] = pixels[ROW // 4 :] == pixels[: -(ROW // 4)]
+    grey = (pixels >> np.uint32(16) & np.uint32(255) == pixels >> np.uint32(8) & np.uint32(255)) & (pixels >> np.uint32(8) & np.uint32(255) == pixels & np.uint32(255))
+    key = images << CACHE | slots(pixels, CACHE)
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(n, bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    way = np.where(HITS * share(hit) > literals, CACHED, PLAIN)
+    way[2 * share(grey) > literals] = CROSSED
+    way[2 * share(above & below) > literals] = ABOVE
+    for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        if len(set(pixels[a : a + ROW // 4].tolist())) <= COLOURS and len(np.unique(pixels[a:b])) <= COLOURS:
+            way[k] = INDEXED
+    return way, hit
+
+
+def changed(pixels: np.ndarray, way: int) -> tuple[np.ndarray, int, int]:
+    """(what is written of an image's pixels, the bits that come before the way's own, how many)."""
+    if way == ABOVE:
+        was = pixels.view(np.uint8).reshape(-1, ROW // 4, 4)
+        rest = was.copy()
+        rest[1:] -= was[:-1]
+        rest[0, 1:] -= was[0, :-1]
+        rest = rest.reshape(-1).view(np.uint32)
+        rest[0] = minus(int(rest[0]), BLACK)
+        return rest, 0, 0
+    if way == CROSSED:
+        green = pixels >> np.uint32(8) & np.uint32(255)
+        return pixels & np.uint32(0xFF00FF00) | ((pixels >> np.uint32(16)) - green & np.uint32(255)) << np.uint32(16) | (pixels - green & np.uint32(255)), 0, 0
+    if way == INDEXED:
+        colours, index = np.unique(pixels, return_inverse=True)
+        out, packed = Writer(), packing_bits(len(colours))
+        for value, n in ((1, 1), (PALETTE, 2), (len(colours) - 1, 8)):
+            out.put(value, n)
+        deltas = np.diff(np.concatenate([[0], colours]).astype(np.uint32).view(np.uint8).reshape(-1, 4), axis=0)
+        put_pixels(out, np.ascontiguousarray(deltas).ravel().view(np.uint32), len(colours))
+        shift = np.arange(1 << packed) * (8 >> packed)
+        return np.uint32(BLACK) | (index.reshape(-1, 1 << packed) << shift).sum(1).astype(np.uint32) << np.uint32(8), *out.number()
+    return pixels, 0, 0
+
+
+def repeats(pixels: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    same = np.zeros(len(pixels) + 1, bool)
+    same[1:-1] = pixels[1:] == pixels[:-1]
+    same[starts] = False
+    return same
 
 
 def encode_payloads(samples: np.ndarray, rows: Sequence[int]) -> list[bytes]:
     """Images of 144 pixels (576 samples) a row, of ``rows`` rows each, from their samples on end.
 
-    Four samples are a pixel's alpha, red, green and blue. The codes are the same for all images, so that an image's
-    bytes depend on its own samples alone, and a whole batch is written by a few array operations.
+    Four samples are a pixel's alpha, red, green and blue. How an image is written follows from its own samples: as
+    packed indexes of a palette if it has 16 colours at most, less the pixel above if that is equal for most, with red and
+    blue less green if those are equal for most, with a colour cache if that holds one pixel in 16 or more, else as
+    it is. The codes are fixed for each way, so a whole batch is written by a few array operations.
     """
-    green, green_n, other, other_n, head, head_n = text_book()
-    quads = samples.reshape(-1, 4)
-    lengths = [n[quads[:, k]].astype(np.int64) for n, k in ((green_n, 2), (other_n, 1), (other_n, 3), (other_n, 0))]
-    code = green[quads[:, 2]]
-    shift = lengths[0].copy()
-    for words, k, n in ((other, 1, lengths[1]), (other, 3, lengths[2]), (other, 0, lengths[3])):
-        code |= words[quads[:, k]] << shift.astype(np.uint64)
-        shift += n
-    size = shift
+    book = books()
+    flat = np.ascontiguousarray(samples).view(">u4").astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(np.array(rows, np.int64) * (ROW // 4))])
-    flat = np.ascontiguousarray(quads).view(np.uint32).ravel()
-    same = np.zeros(len(flat) + 1, bool)
-    same[1:-1] = flat[1:] == flat[:-1]
-    same[starts] = False
+    way, hit = ways(flat, starts, repeats(flat, starts)[:-1])
+    lead = [(0, 0)] * len(rows)
+    other = np.flatnonzero(way >= ABOVE).tolist()
+    if other:
+        cut = [flat[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        for k in other:
+            cut[k], *bits = changed(cut[k], int(way[k]))
+            lead[k] = tuple(bits)
+        kept = np.concatenate([np.full(len(c), way[k] == CACHED) for k, c in enumerate(cut)])
+        hits = np.zeros(len(kept), bool)
+        hits[kept] = hit[np.repeat(way == CACHED, np.diff(starts))]
+        flat, hit, starts = np.concatenate(cut), hits, np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+    else:
+        hit &= np.repeat(way == CACHED, np.diff(starts))
+    words, sizes = np.stack([b[0] for b in book]), np.stack([b[1] for b in book])
+    of = np.repeat(way, np.diff(starts))
+    code, size = np.zeros(len(flat), np.uint64), np.zeros(len(flat), np.int64)
+    for k, shift in enumerate((8, 16, 0, 24)):
+        symbol = (flat >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
+        code |= words[of, k, symbol] << size.astype(np.uint64)
+        size += sizes[of, k, symbol]
+    found = np.flatnonzero(hit)
+    entry = LITERALS + LENGTHS + slots(flat[found], CACHE).astype(np.int64)
+    code[found], size[found] = words[CACHED, 0, entry], sizes[CACHED, 0, entry]
+    same = repeats(flat, starts)
     turns = np.flatnonzero(np.diff(np.concatenate([[False], same]).astype(np.int8)))
-    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        if b - a >= RUN:
-            size[a:b] = 0
-            for k in range(a, b, 4096):
-                symbol, extra, n = prefix_of(min(4096, b - k))
-                code[k] = int(green[LITERALS + symbol]) | extra << int(green_n[LITERALS + symbol])
-                size[k] = int(green_n[LITERALS + symbol]) + n
+    long = turns[1::2] - turns[::2] >= RUN
+    for a, b in zip(turns[::2][long].tolist(), turns[1::2][long].tolist(), strict=True):
+        size[a:b] = 0
+        green, green_n = words[of[a], 0], sizes[of[a], 0]
+        for k in range(a, b, 4096):
+            symbol, extra, n = prefix_of(min(4096, b - k))
+            code[k] = int(green[LITERALS + symbol]) | extra << int(green_n[LITERALS + symbol])
+            size[k] = int(green_n[LITERALS + symbol]) + n
     total = np.concatenate([[0], np.cumsum(size)])
-    bits = 40 + head_n + np.diff(total[starts])
+    before = np.array([40 + n + book[w][3] for (_, n), w in zip(lead, way.tolist(), strict=True)])
+    bits = before + np.diff(total[starts])
     first = np.concatenate([[0], np.cumsum(bits // 64 + 2)])  # of each image's 64-bit words
-    at = total[:-1] + np.repeat(64 * first[:-1] + 40 + head_n - total[starts[:-1]], np.diff(starts))
+    at = total[:-1] + np.repeat(64 * first[:-1] + before - total[starts[:-1]], np.diff(starts))
     put = size > 0
     at, code = at[put], code[put]
     word, shift = at >> 6, (at & 63).astype(np.uint64)
     out = np.zeros(int(first[-1]) + 1, np.uint64)
-    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else []
     if len(word):
+        heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         out[word[heads]] = np.add.reduceat(code << shift, heads)
         over = np.where(shift > 0, code >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         out[word[heads] + 1] |= np.add.reduceat(over, heads)
     files = []
     for k, n in enumerate(rows):
-        top = 0x2F | (ROW // 4 - 1) << 8 | (n - 1) << 22 | 1 << 36 | head << 40
-        own = np.frombuffer(top.to_bytes(8 * (-(-(40 + head_n) // 64)), "little"), np.uint64)
+        own, own_n = lead[k]
+        top = 0x2F | (ROW // 4 - 1) << 8 | (n - 1) << 22 | 1 << 36 | own << 40 | book[way[k]][2] << 40 + own_n
+        head = np.frombuffer(top.to_bytes(8 * -(-int(before[k]) // 64), "little"), np.uint64)
         a = int(first[k])
-        out[a : a + len(own)] |= own
+        out[a : a + len(head)] |= head
         files.append(riff(out[a : int(first[k + 1])].tobytes()[: -(-int(bits[k]) // 8)]))
     return files
 

@@ -157,6 +157,101 @@ def test_webp_by_hand():
     assert pixels.tolist() == [[0xFF071409, 0xFF070A09]]
 
 
+def bits_of(*parts):
+    """A stream of (value, bits) parts, first bit lowest."""
+    value = n = 0
+    for v, k in parts:
+        value, n = value | v << n, n + k
+    return value.to_bytes(-(-n // 8), "little")
+
+
+def one(symbol):
+    """A code with one symbol, which takes no bits."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def constant(a, r, g, b):
+    """The five codes of an image in which all pixels are alike, in the order of the format."""
+    return [*one(g), *one(r), *one(b), *one(a), *one(0)]
+
+
+def head(width, height):
+    return [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
+
+
+def two(x, y, alphabet):
+    """A code in which x is bit 0 and y bit 1. The lengths 0 and 1 and runs of zeros (18) have the words 10, 11 and 0."""
+    parts, at = [(0, 1), (15, 4), *[({18: 1, 0: 2, 1: 2}.get(s, 0), 3) for s in webp.LENGTH_ORDER], (0, 1)], 0
+    for symbol in (x, y, alphabet):
+        while at < symbol:
+            n = min(symbol - at, 138) if symbol - at >= 11 else 1
+            parts += [(0, 1), (n - 11, 7)] if n > 1 else [(1, 2)]
+            at += n
+        if symbol < alphabet:
+            parts.append((3, 2))
+            at += 1
+    return parts
+
+
+ENTRY = (webp.CACHE_FACTOR * 0xFF070A09 & 0xFFFFFFFF) >> 31
+PLAIN, NO_CACHE = [(0, 1)], [(0, 1)]  # no (further) transform; neither cache nor, on top, groups of codes
+
+
+@pytest.mark.parametrize(("parts", "want"), [
+    # subtract green: red and blue are less the green
+    ([*head(2, 1), (1, 1), (2, 2), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(255, 1, 10, 250)], [[0xFF0B0A04] * 2]),
+    # cross-colour in blocks of 4: green to red 1.0, green to blue -0.5, red to blue 2.0 (64 in units of 1/32)
+    ([*head(1, 1), (1, 1), (1, 2), (0, 3), *NO_CACHE, *constant(255, 64, 240, 32), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(255, 1, 10, 0)], [[0xFF000A00 | (1 + 10) << 16 | (-5 + 22) & 255]]),
+    # predictors: black first, then left in the first row, above in the first column
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 0, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000100, 0xFF000100]]),
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 1, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000300, 0xFF000400]]),
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 2, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000300, 0xFF000400]]),
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 3, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000400, 0xFF000300]]),  # above right of the last: the first of its own row
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 4, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000200, 0xFF000300]]),
+    ([*head(3, 2), (1, 1), (0, 2), (0, 3), *NO_CACHE, *constant(0, 0, 12, 0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(0, 0, 1, 0)], [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000400, 0xFF000600]]),
+    # palette of two colours, the second as a difference: eight indexes a pixel, first lowest
+    ([*head(5, 1), (1, 1), (3, 2), (1, 8), *NO_CACHE, *one(7), *one(1), *one(2), *one(128), *one(0), *PLAIN, *NO_CACHE, *NO_CACHE, *constant(255, 0, 0b10110, 0)], [[0x80010702, 0x00020E04, 0x00020E04, 0x80010702, 0x00020E04]]),
+    # colour cache of two entries: a literal, the entry that it went to, the literal again; and the entry that nothing went to
+    ([*head(3, 1), *PLAIN, (1, 1), (1, 4), (0, 1), *two(10, 280 + ENTRY, 282), *one(7), *one(9), *one(255), *one(0), (0, 1), (1, 1), (0, 1)], [[0xFF070A09] * 3]),
+    ([*head(3, 1), *PLAIN, (1, 1), (1, 4), (0, 1), *two(10, 281 - ENTRY, 282), *one(7), *one(9), *one(255), *one(0), (0, 1), (1, 1), (0, 1)], [[0xFF070A09, 0, 0xFF070A09]]),
+    # a literal, then a back-reference of length 3 (prefix symbol 2) by distance code 2, the pixel to the left
+    ([*head(4, 1), *PLAIN, *NO_CACHE, *NO_CACHE, *two(20, 258, 280), *one(7), *one(9), *one(255), *one(1), (0, 1), (1, 1)], [[0xFF071409] * 4]),
+], ids=lambda x: "")
+def test_webp_streams_by_hand(parts, want):
+    """Streams put together from the format's description alone, one per inverse."""
+    assert webp.read_stream(bits_of(*parts)).tolist() == want
+
+
+def test_every_inverse_is_on_the_way_of_the_query(spark, tmp_path, monkeypatch):
+    """Texts for which each way of writing pays: the registered query reads them back through the inverses."""
+    from rarebucket.llm import media
+
+    random = np.random.default_rng(1)
+    line = "".join(map(chr, random.integers(97, 123, 576)))
+    texts = {
+        webp.INDEXED: "four" * 300, webp.ABOVE: line * 9 + "end", webp.CROSSED: "".join(chr(c) * 4 for c in random.integers(33, 126, 1000)),
+        webp.CACHED: "".join(random.choice(["and ", "the ", "of a", "word", "%04x" % random.integers(1 << 16)]) for _ in range(900)), webp.PLAIN: "".join(map(chr, random.integers(32, 126, 4000))),
+    }
+    used = []
+    for name in ("undo_predictor", "undo_cross", "undo_palette", "undo_cache", "copy"):
+        monkeypatch.setattr(webp, name, lambda *a, name=name, f=getattr(webp, name): used.append(name) or f(*a))
+    seen = {}
+    for way, text in texts.items():
+        used.clear()
+        (stored,) = media.store([text.encode()])
+        pixels = np.ascontiguousarray(np.frombuffer(media.padded(text.encode()), np.uint8)).view(">u4").astype(np.uint32)
+        starts = np.array([0, len(pixels)])
+        assert webp.ways(pixels, starts, webp.repeats(pixels, starts)[:-1])[0].tolist() == [way]
+        assert b"".join(map(webp.samples_of, media.load(stored))) == media.padded(text.encode())
+        seen[way] = {*used}
+    monkeypatch.undo()
+    assert "undo_palette" in seen[webp.INDEXED] and "undo_predictor" in seen[webp.ABOVE] and "undo_cross" in seen[webp.CROSSED] and "undo_cache" in seen[webp.CACHED] and "copy" in seen[webp.ABOVE]
+    spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.QUERIES["op4_webp"](spark, str(tmp_path)).collect():
+        assert r.payload_sha256 == hashlib.sha256(media.padded(texts[r.doc_id].encode())).hexdigest()
+        assert r.media_sha256 == hashlib.sha256(media.store([texts[r.doc_id].encode()])[0]).hexdigest()
+
+
 @pytest.mark.parametrize("cut", [1, 10, 21, 30, 60])
 def test_damaged_webp(cut):
     data = webp.encode(IMAGES[0])
