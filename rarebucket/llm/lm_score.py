@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from rarebucket.llm.common import WORD, mixed, reliable, utf8
 from rarebucket.llm.shingles import words
 
-CHUNK, PART = 16 << 20, 4_000_000
+CHUNK, PART = 12 << 20, 4_000_000
 BACKOFF, LEAST, ORDER = 0.4, 2, 3
+#: Bytes of a chunk that are hashed at once.
+PIECE = 1 << 20
 
 
 def squeezed(data: bytes) -> bytes:
@@ -109,7 +111,14 @@ def texts_of(rows: pa.Table) -> tuple[list, pa.Array]:
 
 def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Per order the hash of the n-gram that ends at each word, the row of each word, and how many words of its text stand before it."""
-    word, row = words(texts)
+    ends = utf8(texts)[1]
+    found, a = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while a < len(texts):  # hashing takes many times a text's size, so some texts at a time
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE, "right")) - 1)
+        word, row = words(texts.slice(a, b - a))
+        found.append((word, row + a))
+        a = b
+    word, row = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     at = np.arange(len(word)) - np.searchsorted(row, row)
     out = [word]
     for n in range(2, ORDER + 1):
