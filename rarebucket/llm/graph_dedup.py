@@ -40,7 +40,7 @@ SHARD, SAMPLE, FANOUT, GUESTS = 2048, 2000, 32, 2
 #: Rows of a shard that are dealt in one task; queries that a split is judged by, and queries of the audit.
 DEALT, JUDGES, AUDITED, RECALL = 8192, 64, 200, 0.9
 #: Candidates and neighbours per node, slack of the pruning, width of the greedy search.
-NEAREST, DEGREE, ALPHA, BEAM = 64, 24, 1.2, 24
+NEAREST, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 24
 #: How far below the bound a node may be for the search to go on from it.
 SLACK = 0.01
 #: Splits in a row before the rest is dealt by hash.
@@ -183,6 +183,7 @@ def pruned(x: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     """Out-neighbours of each row: of its nearest, those that no closer chosen one covers, filled up with the nearest to half
     the degree, since in a ball one centre may cover all; then reverse links up to twice the degree, and one to each row that has none."""
     n, k = len(x), min(NEAREST, len(x) - 1)
+    x = x.astype(np.float32)
     chosen: list[np.ndarray] = []
     for a in range(0, n, 256):
         near = x[a : a + 256] @ x.T
@@ -190,7 +191,7 @@ def pruned(x: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
         far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(near, top, 1)))
-        between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ijd,ikd->ijk", x[top], x[top])))
+        between = np.sqrt(np.maximum(0, 2 - 2 * x[top] @ x[top].transpose(0, 2, 1)))
         alive, keep = np.ones(top.shape, bool), np.zeros(top.shape, bool)
         rows = np.arange(len(top))
         for _ in range(degree):
@@ -226,8 +227,8 @@ def table_of(lists: list[np.ndarray]) -> np.ndarray:
 
 def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: int, beam: int) -> np.ndarray:
     """The ``beam`` best nodes met per query, all queries advancing together; -1 where there are fewer."""
-    q, rows = len(queries), np.arange(len(queries))
-    best, score = np.full((q, beam), -1), np.full((q, beam), -np.inf)
+    q, rows, x = len(queries), np.arange(len(queries)), x.astype(np.float32)
+    best, score = np.full((q, beam), -1), np.full((q, beam), -np.inf, np.float32)
     done = np.ones((q, beam), bool)
     best[:, 0], score[:, 0], done[:, 0] = start, x[queries] @ x[start], False
     while not done.all():
@@ -242,7 +243,7 @@ def greedy(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: int, be
         first = np.ones_like(fresh)
         first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
         new, fresh = ordered, np.take_along_axis(fresh, np.argsort(new, 1, kind="stable"), 1) & first
-        value = np.where(fresh, np.einsum("ijd,id->ij", x[new], x[queries[r]]), -np.inf)
+        value = np.where(fresh, (x[new] @ x[queries[r]][:, :, None])[:, :, 0], np.float32(-np.inf))
         all_score = np.concatenate([score[r], value], 1)
         order = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
         best[r] = np.take_along_axis(np.concatenate([best[r], new], 1), order, 1)
