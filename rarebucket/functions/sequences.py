@@ -107,14 +107,17 @@ def exploded(df: DataFrame, sequence: str, k: int, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(b or b"") for b in batch.column(0).cast(pa.binary()).to_pylist()]
-            codes = BYTE_CODES[np.frombuffer(b"\0".join(texts), np.uint8)]  # the joints are stops, so no window crosses them
+            flat = np.frombuffer(b"\0".join(texts), np.uint8)  # the joints are stops, so no window crosses them
             ends = np.cumsum([len(t) + 1 for t in texts])
-            used = np.flatnonzero(codes != SKIP)
-            row, codes = np.searchsorted(ends, used, "right"), codes[used]
-            for a in range(0, len(codes), SLICE):
-                start, kmer = packed_windows(codes[a : a + SLICE + k - 1], k)
-                at = pa.array(row[a + start])
+            codes, row = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+            for a in range(0, len(flat), SLICE):  # only a slice at a time is widened
+                piece = BYTE_CODES[flat[a : a + SLICE]]
+                used = np.flatnonzero(piece != SKIP)
+                codes, row = np.concatenate([codes, piece[used]]), np.concatenate([row, np.searchsorted(ends, a + used, "right")])
+                start, kmer = packed_windows(codes, k)
+                at = pa.array(row[start])
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(kmer)], names=[*batch.schema.names[1:], "kmer"])
+                codes, row = codes[len(codes) - min(k - 1, len(codes)) :], row[len(row) - min(k - 1, len(row)) :]
 
     rows = df.select(F.col(sequence).cast("string").alias("sequence"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])

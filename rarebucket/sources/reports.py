@@ -1,4 +1,4 @@
-"""Result tables: CSV sinks and loads, unions of CSV files, JSON, and file checksums."""
+"""Result tables: CSV sinks and loads, unions of CSV files, and JSON."""
 
 from __future__ import annotations
 
@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Columns of a run table (60): what was run, what came out, and on what machine.
-PROVENANCE = """git_commit manifest_sha256 baseline_revision toolkit_version driver_version compiler_version bench_revision core_revision
-    collections_revision hostname device_name device_uuid compute_capability device_memory_bytes free_device_memory_bytes power_limit_w persistence_mode
-    application_clocks device_temperature_c other_device_processes cpu_model cpu_logical_count cpu_affinity host_memory_bytes os kernel""".split()
-RUN_COLUMNS = {
-    "string": "schema_version run_id timestamp_utc phase dataset reference_path reference_sha256 query_path query_sha256 backend status error".split(),
-    "long": "k buckets root_seed derived_seed warmup run_index sequence_bases valid_kmers invalid_windows lower equal higher".split(),
-    "double": "preprocess_ms allocation_ms h2d_ms construction_ms comparison_ms d2h_ms metric_ms total_ms wkid ani".split(),
-}
+# The header of a file of runs, in its order. Blank where nothing is known.
+RUN_HEADER = (
+    "schema_version,run_id,timestamp_utc,phase,dataset,reference_path,reference_sha256,query_path,query_sha256,backend,k,buckets,root_seed,derived_seed,"
+    "warmup,run_index,status,sequence_bases,valid_kmers,invalid_windows,preprocess_ms,allocation_ms,h2d_ms,construction_ms,comparison_ms,d2h_ms,metric_ms,"
+    "total_ms,lower,equal,higher,wkid,ani,error,git_commit,manifest_sha256,bbtools_revision,cuda_version,driver_version,compiler_version,nvbench_revision,"
+    "cccl_revision,cuco_revision,hostname,gpu_name,gpu_uuid,compute_capability,gpu_memory_bytes,free_gpu_memory_bytes,power_limit_w,persistence_mode,"
+    "application_clocks,gpu_temperature_c,other_gpu_processes,cpu_model,cpu_logical_count,cpu_affinity,host_memory_bytes,os,kernel"
+)
+COUNTED = {"k", "buckets", "root_seed", "warmup", "run_index", "sequence_bases", "valid_kmers", "invalid_windows", "lower", "equal", "higher"}
+
+
+def run_type(name: str) -> str:
+    return "long" if name in COUNTED else "double" if name.endswith("_ms") or name in ("wkid", "ani") else "string"
+
+
+RUN_SCHEMA = ", ".join(f"{name} {run_type(name)}" for name in RUN_HEADER.split(","))
 ACCURACY_SCHEMA = "Estimator string, Items long, Trial int, Exact long, Estimate double, `Signed Error` double, `Absolute Error` double"
 THROUGHPUT_SCHEMA = "implementation string, count long, buckets int, trial int, seconds double, adds_per_second double, estimate double"
-RUN_SCHEMA = ", ".join([*(f"{name} {kind}" for kind, names in RUN_COLUMNS.items() for name in names), *(f"{name} string" for name in PROVENANCE)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -57,8 +63,3 @@ def first_reference(text: Column) -> Column:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate, islice, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,25 +47,40 @@ def trial_seed(root: int, power: int, trial: int) -> int:
 
 def derived_seed(root: int, tag: int, parameters: tuple[int, ...], replicate: int) -> int:
     """Mixed in turn with a tag, all parameters and the replicate."""
-    state = mix(root ^ tag)
-    for value in (*parameters, replicate):
-        state = mix(state ^ value & WHOLE)
-    return state
+    return reduce(lambda state, value: mix(state ^ value & WHOLE), (*parameters, replicate), mix(root ^ tag))
 
 
-def stream(seed: int) -> Iterator[int]:
-    while True:
-        seed = mix(seed)
-        yield seed
+def stream(seed: int, n: int) -> np.ndarray:
+    """The ``n`` numbers that follow the seed, each mixed from the one before."""
+    return np.fromiter(islice(accumulate(repeat(seed), lambda state, _: mix(state)), 1, n + 1), np.uint64, n)
+
+
+LETTERS = np.frombuffer(b"ACGT", np.uint8)
+#: Per base the three others.
+OTHERS = np.array([[c for c in range(4) if c != b] for b in range(4)])
+
+
+def decisions(low: np.ndarray) -> np.ndarray:
+    """Where a base is decided on, if a low number that decides makes the next one a choice of base.
+
+    In a run of low numbers that is every second one, from the first on, whatever came before the run.
+    """
+    at = np.arange(len(low))
+    begins = low & ~np.concatenate([[False], low[:-1]])
+    chosen = low & ((at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0)
+    return ~np.concatenate([[False], chosen[:-1]])
 
 
 def genome_pair(seed: int, bases: int, identity: float) -> tuple[str, str]:
     """A random genome, and a copy in which a base stays with chance ``identity``."""
-    numbers = stream(seed)
-    first = "".join("ACGT"[next(numbers) & 3] for _ in range(bases))
-    change = (1 - identity) * 2.0**64
-    second = "".join(b if next(numbers) >= change else [c for c in "ACGT" if c != b][next(numbers) % 3] for b in first)
-    return first, second
+    change = math.ceil((1 - identity) * 2.0**64)
+    room = 2 * bases + 2  # each base takes one number, and one more if it changes
+    numbers = stream(seed, bases + (room if change >= 1 << 62 else bases + int(2 * bases * change / 2**64) + 1000))
+    first, rest = (numbers[:bases] & np.uint64(3)).astype(np.int64), numbers[bases:]
+    low = rest < np.uint64(change) if change < 1 << 64 else np.ones(len(rest), bool)
+    at = np.flatnonzero(decisions(low)[:-1])[:bases]
+    second = np.where(low[at], OTHERS[first, (rest[at + 1] % np.uint64(3)).astype(np.int64)], first)
+    return LETTERS[first].tobytes().decode(), LETTERS[second].tobytes().decode()
 
 
 def genomes(spark: SparkSession, identities: list[float], replicates: int, bases: int, k: int = 25, buckets: int = 2048, root: int = 42, tag: int = 0x534B4554434830) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sequences, FASTA files, synthetic genomes and result tables."""
 
+import gzip
+import hashlib
 import random
 
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rarebucket.functions import sequences as Q
 from rarebucket.operators import reports as P
-from rarebucket.sources import fasta, reports, synthetic
+from rarebucket.functions.hashing import mix
+from rarebucket.sources import fasta, files, reports, synthetic
 
 
 @pytest.mark.parametrize(
@@ -46,6 +49,79 @@ def test_long_file_in_ranges(spark, tmp_path):
 def test_missing_file(spark):
     with pytest.raises(Exception, match="(?i)path|exist"):
         fasta.parsed(spark, "/nowhere/x.fa", 3).count()
+    with pytest.raises(FileNotFoundError):
+        fasta.ranges(spark, "/nowhere/x.fa", 3)
+
+
+@pytest.mark.parametrize("text", [">h\nACGTAC>GTTTACG\nAC\n", "ACGT>A\n>AC>GT\nAC>\n>\n\nGT", ">a\r\nAC\r\n>b\r\n>c\r\nGT>T\r\n", "\n\n>x", ">only a header"])
+def test_marks_inside_lines(spark, tmp_path, text):
+    """A > is a header as a line's first character alone, wherever ranges are cut."""
+    path = tmp_path / "x.fa"
+    path.write_text(text)
+    want = "".join(line for line in text.replace("\r", "").split("\n") if not line.startswith(">"))
+    assert fasta.sequences(spark, str(path)).first().sequence.replace("\n", "").replace("\r", "") == want
+    for size in range(1, len(text) + 2):
+        reader = fasta.FastaReader({"path": str(path), "k": "3", "chunk_bytes": str(size)})
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert "".join(r[3] for r in rows) == want, size
+        done = ""
+        for _, _, before, body in rows:
+            assert before == done[-3:], size
+            done += body
+
+
+def test_many_packed_and_fastq_files(spark, tmp_path):
+    """Folders, patterns, gzip and FASTQ give what the plain files give, at any size of piece."""
+    random.seed(9)
+    genome = "".join(random.choice("ACGTN") for _ in range(700))
+    lines = [genome[i : i + 70] for i in range(0, 700, 70)]
+    plain = ">a\n" + "\n".join(lines[:4]) + "\n>b>\n" + "\n".join(lines[4:]) + "\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.fa").write_text(plain)
+    (tmp_path / "in" / "y.fa.gz").write_bytes(gzip.compress(plain.encode()))
+    (tmp_path / "in" / "z.fq").write_text("".join(f"@r{i}\n{line}\n+\n{'@>+I'[i % 4] * len(line)}\n" for i, line in enumerate(lines)))
+    want = sorted(spark.createDataFrame([(genome,)], "s string").select(F.explode(Q.kmers(F.col("s"), 5)).alias("kmer")).toPandas()["kmer"])
+    for path in (str(tmp_path / "in"), str(tmp_path / "in" / "*.f*"), [str(tmp_path / "in" / n) for n in ("x.fa", "y.fa.gz", "z.fq")]):
+        for size in (1, 64, 1 << 20):
+            rows = fasta.range_kmers(fasta.ranges(spark, path, 5, size), 5).toPandas()
+            assert {p[-4:] for p in rows["path"]} == {"x.fa", "a.gz", "z.fq"}
+            assert all(sorted(g["kmer"]) == want for _, g in rows.groupby("path"))
+    assert {r.path[-4:]: sorted(r.kmers) for r in fasta.parsed(spark, str(tmp_path / "in"), 5).collect()} == dict.fromkeys(("x.fa", "a.gz", "z.fq"), want)
+
+
+def test_checksums(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    (tmp_path / "b").write_bytes(bytes(range(256)) * 40_000)
+    (tmp_path / "c").write_bytes(b"")
+    got = {r.path[-1]: r.sha256 for r in files.checksums(spark, str(tmp_path)).collect()}
+    assert got == {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in "abc"}
+    assert got["a"] == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+
+
+def test_seeds_and_streams():
+    """Values of the seed chain, the stream and the genomes, number by number."""
+    state = 42 ^ 7
+    for value in (25, 2048, 900, 3):
+        state = mix(state) ^ value
+    assert synthetic.derived_seed(42, 7, (25, 2048, 900), 3) == mix(state)
+    assert synthetic.derived_seed(0, 0, (), 0) == 0  # the mixing keeps 0
+    assert synthetic.trial_seed(42, 8, 1) == mix(42 ^ 8 << 32 ^ 1)
+    numbers, now = [], 99
+    for _ in range(5000):
+        now = mix(now)
+        numbers.append(now)
+    assert synthetic.stream(99, 5000).tolist() == numbers
+    for identity in (0.0, 0.5, 0.85, 0.999, 1.0):
+        first, second = synthetic.genome_pair(99, 1000, identity)
+        at, want = 1000, []
+        for base in first:
+            low = numbers[at] < (1 - identity) * 2.0**64
+            at += 1
+            if low:
+                base = "ACGT".replace(base, "")[numbers[at] % 3]
+                at += 1
+            want.append(base)
+        assert first == "".join("ACGT"[n & 3] for n in numbers[:1000]) and second == "".join(want)
 
 
 def test_longest_kmer(spark):
@@ -78,10 +154,10 @@ def test_csv_round_trip(spark, tmp_path):
     assert reports.union_csv(spark, both, "count long, absent string").count() == 4
     named = reports.union_csv(spark, both, "count long", lambda df, path: df.withColumn("file", F.lit(path[-1])))
     assert sorted(r.file for r in named.collect()) == ["x", "x", "y", "y"]
-    assert len(reports.run_table(rows).columns) == 60
+    assert reports.run_table(rows).columns == reports.RUN_HEADER.split(",") and len(set(reports.RUN_HEADER.split(","))) == 60
     reports.write_json(rows, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
-    assert {len(r.sha256) for r in reports.checksums(spark, str(tmp_path / "x")).collect()} == {64}
+    assert {len(r.sha256) for r in files.checksums(spark, str(tmp_path / "x")).collect()} == {64}
 
 
 def test_acceptance_without_baseline_fails(spark):
