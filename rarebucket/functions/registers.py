@@ -52,9 +52,16 @@ def count_of(register: Column) -> Column:
 
 
 def saturated_add(a: Column, b: Column) -> Column:
+    """Sum of two winner counts as a register keeps it; counts may be larger than a register's most."""
     return F.least(a + b, F.lit(MOST_COUNT))
 
 
+def merge_registers(a: Column, b: Column) -> Column:
+    """Of two packed registers that with the larger winner; equal winners add their counts."""
+    both = pack(winner_of(a), saturated_add(count_of(a), count_of(b)))
+    return F.when(winner_of(a) > winner_of(b), a).when(winner_of(a) < winner_of(b), b).otherwise(both)
+
+
 def restore(score_: Column) -> Column:
     """The magnitude that a score stands for, as an exact decimal (up to 2^64)."""
     mantissa = (F.lit(2047) - score_.bitwiseAND(1023)).cast("decimal(5,0)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.functions.registers import percent, signed_error
+from rarebucket.functions.registers import billions, micros, percent, signed_error
 
 
 def with_errors(df: DataFrame, estimate: str = "estimate", exact: str = "exact") -> DataFrame:
@@ -35,6 +37,37 @@ def benchmark_base(name: Column) -> Column:
     return F.when(base != "", base).otherwise(name)
 
 
+def subject(name: Column) -> Column:
+    """What a benchmark is of, from names like ``Some_5/insert/1024``: the first part up to an underscore, in small letters, without fixture."""
+    return F.regexp_replace(F.lower(F.substring_index(F.substring_index(name, "/", 1), "_", 1)), "fixture$", "")
+
+
+def fixture_parts(name: Column) -> Column:
+    """(base, operation, size) of names like ``SomeFixture2/insert/1024/...``; size 0 if the third part isn't digits. Other names give null."""
+    parts = F.split(name, "/")
+    first = F.regexp_replace(parts[0], '^"+|"+$', "")
+    base = F.regexp_extract(first, r"^(.+?)Fixture\d*$", 1)
+    third = F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit(""))
+    size = F.when(third.rlike("^[0-9]+$"), third.cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when((F.size(parts) >= 2) & (base != ""), F.struct(F.lower(base).alias("base"), F.try_element_at(parts, F.lit(2)).alias("operation"), size.alias("size")))
+
+
+def series(df: DataFrame, kind: str, estimators: Sequence[str] | None = None, name: str = "Estimator") -> DataFrame:
+    """Rows whose name ends with ``_kind``, with ``series`` (the name without it); of the estimators asked for, those without rows are absent."""
+    rows = df.filter(F.col(name).endswith(f"_{kind}")).withColumn("series", F.regexp_replace(name, f"_{kind}$", ""))
+    return rows if estimators is None else rows.filter(F.col("series").isin(*estimators))
+
+
+def construction_series(df: DataFrame, estimators: Sequence[str] | None = None) -> DataFrame:
+    """(series, Items, giga): median throughput in 1e9 elements a second."""
+    return series(df, "construction", estimators).select("series", "Items", billions(F.col("throughput")).alias("giga"))
+
+
+def latency_series(df: DataFrame, estimators: Sequence[str] | None = None) -> DataFrame:
+    """(series, Items, micros): median time of an estimate in microseconds."""
+    return series(df, "cardinality", estimators).select("series", "Items", micros(F.col("seconds")).alias("micros"))
+
+
 def measured(df: DataFrame) -> DataFrame:
     return df.filter(F.col("phase") == "measured")
 

@@ -19,6 +19,8 @@ from rarebucket.functions.hashing import hash_key, unsigned_order
 BUCKETS, K = 2048, 25
 #: Registers (sketches times filled buckets) that are broadcast at most.
 SMALL = 1_000_000
+#: Bytes of an input from which reading it twice is cheaper than moving its (bucket, score) combinations.
+LARGE = 4 << 30
 
 
 def _keyed(df: DataFrame, key: str | Column, by: str | Column | None) -> DataFrame:
@@ -71,6 +73,13 @@ def merged(*frames: DataFrame) -> DataFrame:
     return best(rows.groupBy("sketch_id", "bucket", F.col("winner").alias("score")).agg(F.sum("n").alias("n")))
 
 
+def merge_dense(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Union by id of dense sketches, rows of (sketch_id, bucket, register); a sketch that one side lacks is the other's."""
+    other = right.select("sketch_id", "bucket", F.col("register").alias("other"))
+    own, other_ = F.coalesce("register", F.lit(0).cast("long")), F.coalesce("other", F.lit(0).cast("long"))
+    return left.join(other, ["sketch_id", "bucket"], "full").select("sketch_id", "bucket", R.merge_registers(own, other_).alias("register"))
+
+
 @dataclass(frozen=True)
 class Sketch:
     """Sketches of one width, a row per filled bucket in ``rows``. ``ids`` lists the sketches, so that empty ones are kept."""
@@ -81,10 +90,12 @@ class Sketch:
     k: int = K
 
     @staticmethod
-    def build(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS, k: int = K, ids: DataFrame | None = None, passes: int = 1) -> Sketch:
-        """``passes=2`` reads the input twice and moves far less of it."""
+    def build(df: DataFrame, key: str | Column, by: str | Column | None = None, buckets: int = BUCKETS, k: int = K, ids: DataFrame | None = None, passes: int | None = None) -> Sketch:
+        """``passes=2`` reads the input twice and moves far less of it; None chooses it for inputs that the optimizer takes for LARGE."""
         R.checked_buckets(buckets)
         R.checked_k(k)
+        if passes is None:
+            passes = 2 if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= LARGE else 1
         rows = (registers_in_two_passes if passes == 2 else registers)(df, key, by, buckets)
         return Sketch(rows, rows.select("sketch_id").distinct() if ids is None else ids.select("sketch_id"), buckets, k)
 

@@ -123,6 +123,54 @@ def test_two_passes(spark, most):
     assert S.Sketch.build(rows.limit(0), "key", passes=2).rows.count() == 0
 
 
+def test_passes_follow_the_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(S, "registers_in_two_passes", lambda *a, f=S.registers_in_two_passes: asked.append(1) or f(*a))
+    rows = spark.range(5000)
+    one = sorted(map(tuple, S.Sketch.build(rows, "id").rows.collect()))
+    assert not asked
+    monkeypatch.setattr(S, "LARGE", 1000)
+    assert sorted(map(tuple, S.Sketch.build(rows, "id").rows.collect())) == one and asked == [1]
+
+
+def test_packed_registers(spark):
+    rows = [(R_, n, w, m) for R_, n, w, m in ((0, 0, 0, 0), (5, 3, 5, 4), (5, 65535, 5, 1), (7, 1, 6, 9), (6, 9, 7, 1), (0, 0, 55295, 65535))]
+    table = spark.createDataFrame(rows, "a int, n int, b int, m int").select("*", R.merge_registers(R.pack(F.col("a"), F.col("n")), R.pack(F.col("b"), F.col("m"))).alias("x"))
+    for r in table.select("*", R.winner_of(F.col("x")).alias("w"), R.count_of(F.col("x")).alias("c")).collect():
+        assert (r.w, r.c) == (max(r.a, r.b), min(65535, r.n * (r.a >= r.b) + r.m * (r.b >= r.a)))
+
+
+def test_hyperloglog(spark):
+    """Counts, merges and similarity within four standard errors of exact values."""
+    from rarebucket.operators import hll
+
+    bound = 4 * 1.04 / 2 ** (hll.PRECISION / 2)
+    rows = spark.range(60_000).select("id", F.when(F.col("id") < 30_000, "a").otherwise("b").alias("part")).union(spark.range(15_000).select("id", F.lit("b")))
+    found = hll.sketches(rows, "id", "part")
+    got = {r.sketch_id: r.estimate for r in hll.estimates(found).collect()}
+    assert abs(got["a"] / 30_000 - 1) < bound and abs(got["b"] / 45_000 - 1) < bound
+    merged = hll.estimates(hll.merged(found).select(F.lit("all").alias("sketch_id"), "hll")).first().estimate
+    assert abs(merged / 60_000 - 1) < bound
+    alike = hll.similarity(found, spark.createDataFrame([("a", "b"), ("a", "a")], "left_id string, right_id string")).collect()
+    assert {r.right_id: abs(r.similarity - (0.5 if r.right_id == "b" else 1.0)) < 6 * bound for r in alike} == {"a": True, "b": True}
+    assert hll.estimates(hll.sketches(rows.limit(0), "id", "part")).count() == 0
+
+
+def test_all_and_alike_pairs(spark):
+    """All pairs against pairs compared one by one, among them sketches without a common bucket; no nested loop in the plan."""
+    rows = spark.createDataFrame([(i, k) for i, ks in enumerate([range(300), range(150, 450), [7], [8], range(5000, 5400)]) for k in ks], "id int, key long")
+    sketches = S.winners(rows, "key", "id")
+    ids = [str(i) for i in range(5)]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "left_id string, right_id string")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    want = order(C.compare(sketches, pairs, 2048))
+    every = C.all_pairs(sketches, 2048)
+    assert order(every) == want and len(want) == 10
+    assert "NestedLoop" not in every._jdf.queryExecution().executedPlan().toString()
+    assert order(C.alike_pairs(sketches, 2048)) == [w for w in want if w[3] > 0]
+    assert order(C.alike_pairs(sketches, 2048, least=100)) == [w for w in want if w[3] >= 100]
+
+
 def test_null_keys_are_left_out(spark):
     rows = spark.createDataFrame([(None,), (5,)], "key long")
     assert S.registers(rows, "key").count() == 1
