@@ -181,10 +181,12 @@ def pairwise_counts(spark, sf_dir):
 
 @query(f"WITH {ORDERS}, {sql.counts()}, {sql.sums()} SELECT v.*, round({sql.MLE}, 6) AS cardinality FROM v JOIN z ON z.sketch_id = v.left_id")
 def summary_with_cardinality(spark, sf_dir):
-    rows = flags(spark, sf_dir)
-    ids = rows.select("sketch_id").distinct()
-    pairs = ids.select(F.col("sketch_id").alias("left_id")).join(ids.select(F.col("sketch_id").alias("right_id")), F.col("left_id") < F.col("right_id"))
-    return rounded(C.compare(rows, pairs, 2048, include_cardinality=True), 6, "cardinality")
+    return rounded(C.all_pairs(flags(spark, sf_dir), 2048, include_cardinality=True), 6, "cardinality")
+
+
+@query(f"WITH {ORDERS}, {sql.counts()} SELECT * FROM v WHERE equal > 0")
+def alike_counts(spark, sf_dir):
+    return C.alike_pairs(flags(spark, sf_dir), 2048)
 
 
 METRICS = ("wkid", "ani", "containment", "completeness")
@@ -226,12 +228,14 @@ def incremental_add(spark, sf_dir):
 FWD, REV = sql.PACK.format(x="translate(s, 'ACTG', '0123')"), sql.PACK.format(x="translate(reverse(s), 'ACTG', '2301')")
 
 
-@query(f"""WITH b AS (SELECT doc_id, translate(substr(md5(text), 1, 31), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, {FWD} AS forward, {REV} AS reverse_complement, {REV} AS by_bits, greatest({FWD}, {REV}) AS canonical FROM b""")
+@query(f"""WITH d AS (SELECT doc_id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS whole, unnest([1, 2]) AS place FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, place, substr(whole, place, 31) AS s FROM d)
+SELECT doc_id, place, {FWD} AS forward, {REV} AS reverse_complement, {REV} AS by_bits, greatest({FWD}, {REV}) AS canonical FROM b""")
 def encode_revcomp(spark, sf_dir):
-    text = F.translate(F.substring(F.md5("text"), 1, 31), "0123456789abcdef", "ACGTACGTACGTACGT")
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("s"))
-    rows = rows.select("doc_id", Q.forward(F.col("s")).alias("forward"), Q.reverse_complement(F.col("s")).alias("reverse_complement"), Q.canonical(F.col("s")).alias("canonical"))
+    """Both windows of the longest k in a sequence of 32 bases, the text's digest."""
+    whole = F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", whole.alias("whole"), F.explode(F.array(F.lit(1), F.lit(2))).alias("place"))
+    rows = rows.select("doc_id", "place", F.substr("whole", F.col("place"), F.lit(31)).alias("s"))
+    rows = rows.select("doc_id", "place", Q.forward(F.col("s")).alias("forward"), Q.reverse_complement(F.col("s")).alias("reverse_complement"), Q.canonical(F.col("s")).alias("canonical"))
     return rows.withColumn("by_bits", Q.reverse_complement_packed(F.col("forward"), 31))
 
 
@@ -249,34 +253,31 @@ def sequence_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
-def dna_kmers(spark: SparkSession, sf_dir: str, by: str, k: int) -> DataFrame:
-    """k-mers of each group's documents as one genome each, in order of their ids.
+#: Windows of the digests' 32 bases: 20 of each, among 4^13 / 2 canonical ones.
+DIGEST_K = 13
 
-    The sequence of a document is short and known, so a window across two documents needs the end of the one before only:
-    each document is led by the last k-1 bases of the previous, which a window function brings, and no group is ever one row.
-    """
-    from pyspark.sql import Window
 
+def dna_kmers(spark: SparkSession, sf_dir: str, by: str, k: int) -> DataFrame:
+    """k-mers of each group's documents, each a record of its own: no window crosses two, so no order is needed."""
     own = F.translate(F.md5("text"), "0123456789abcdef", "ACGTACGTACGTACGT")
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.coalesce(F.col(by), F.lit("")).alias("sketch_id"), "doc_id", own.alias("s"))
-    lead = F.lag(F.substring("s", 32 - k + 2, k - 1), 1, "").over(Window.partitionBy("sketch_id").orderBy("doc_id"))
-    return Q.exploded(rows.select("sketch_id", F.concat(lead, F.col("s")).alias("s")), "s", k, "sketch_id")
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.coalesce(F.col(by), F.lit("")).alias("sketch_id"), own.alias("s"))
+    return Q.exploded(rows, "s", k, "sketch_id")
 
 
 def _dna(by: str, k: int) -> str:
     return f"{sql.dna('documents', f'coalesce({by}, {chr(39) * 2})')}, {sql.windows(k, 'dna', 'sketch_id', 'sequence')}, {sql.registers('w', 'kmer', 'sketch_id')}"
 
 
-@query(f"WITH {_dna('source', 7)}, {sql.sums()} SELECT sketch_id, (2048 - filled)::BIGINT AS empty, round({sql.MLE}, 6) AS cardinality FROM z")
+@query(f"WITH {_dna('source', DIGEST_K)}, {sql.sums()} SELECT sketch_id, (2048 - filled)::BIGINT AS empty, round({sql.MLE}, 6) AS cardinality FROM z")
 def dna_cardinality(spark, sf_dir):
-    rows = S.winners(dna_kmers(spark, sf_dir, "source", 7), "kmer", "sketch_id")
+    rows = S.winners(dna_kmers(spark, sf_dir, "source", DIGEST_K), "kmer", "sketch_id")
     return rounded(E.cardinality(rows, 2048), 6, "cardinality").select("sketch_id", "empty", "cardinality")
 
 
-@query(f"WITH {_dna('lang', 7)}, {sql.counts()} SELECT v.*, {sql.metrics(7)} FROM v")
+@query(f"WITH {_dna('lang', DIGEST_K)}, {sql.counts()} SELECT v.*, {sql.metrics(DIGEST_K)} FROM v")
 def dna_similarity(spark, sf_dir):
-    rows = S.winners(dna_kmers(spark, sf_dir, "lang", 7), "kmer", "sketch_id")
-    return rounded(C.with_metrics(C.all_pairs(rows, 2048), 7), 6, *METRICS)
+    rows = S.winners(dna_kmers(spark, sf_dir, "lang", DIGEST_K), "kmer", "sketch_id")
+    return rounded(C.with_metrics(C.all_pairs(rows, 2048), DIGEST_K), 6, *METRICS)
 
 
 @query()
@@ -322,7 +323,8 @@ def seed_derive(spark, sf_dir):
     return splitmix64(rows.withColumn("seed", F.shiftleft("power", 32).bitwiseXOR(F.col("trial")).bitwiseXOR(F.lit(42).cast("long"))), "seed")
 
 
-TRIALS = [(p, t) for p in (8, 9, 10, 11, 12) for t in range(3)]
+POWERS = (8, 10, 12, 14, 16)
+TRIALS = [(p, t) for p in POWERS for t in range(3)]
 
 
 def _trial_rows() -> str:
@@ -340,10 +342,9 @@ def accuracy_trials(spark, sf_dir):
 
 
 def _trials(spark: SparkSession) -> DataFrame:
-    rows = None
-    for p, t in TRIALS:
-        one = synthetic.distinct_keys(spark, 1 << p, synthetic.trial_seed(42, p, t)).select(F.lit(f"{p}-{t}").alias("id"), "key")
-        rows = one if rows is None else rows.union(one)
+    from rarebucket.plans.jobs import trial_rows
+
+    rows = trial_rows(spark, POWERS, 3, 42)
     found = E.cardinality(S.winners(rows, "key", "id"), 2048)
     part = F.split("sketch_id", "-")
     found = found.select(part[0].cast("int").alias("power"), part[1].cast("int").alias("trial"), F.col("cardinality").alias("estimate"))
@@ -419,6 +420,56 @@ def hll_union_similarity(spark, sf_dir):
     return hll.similarity(found, pairs)
 
 
+@query("""SELECT DISTINCT l_returnflag AS sketch_id, count(DISTINCT l_partkey)::BIGINT AS exact, true AS within FROM lineitem GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT l_partkey)::BIGINT, true FROM lineitem""")
+def hll_bounds(spark, sf_dir):
+    """Estimates of the flags and of their merged sketches lie within four standard errors of exact counts."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("sketch_id"))
+    found = hll.sketches(rows, "l_partkey", "sketch_id")
+    guess = hll.estimates(found).union(hll.estimates(hll.merged(found).select(F.lit("all").alias("sketch_id"), "hll")))
+    exact = rows.groupBy("sketch_id").agg(F.countDistinct("l_partkey").alias("exact")).union(rows.select(F.lit("all").alias("sketch_id"), F.countDistinct("l_partkey").alias("exact")))
+    error = F.abs(F.col("estimate") / F.col("exact") - 1)
+    return exact.join(guess, "sketch_id").select("sketch_id", "exact", (error <= 4 * 1.04 / 2 ** (hll.PRECISION / 2)).alias("within"))
+
+
+@query(f"""WITH {PARTS}, i AS (SELECT DISTINCT sketch_id FROM r), q AS (SELECT sketch_id, unnest(range(2048))::INT AS bucket FROM i)
+SELECT q.sketch_id, q.bucket, coalesce(winner::BIGINT * 65536 + least(n, 65535), 0)::BIGINT AS register FROM q LEFT JOIN r USING (sketch_id, bucket)""")
+def dense_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    first, rest = (S.Sketch.build(rows.filter(f"l_linenumber {c} 2"), "l_partkey", "l_returnflag").dense() for c in ("<=", ">"))
+    return S.merge_dense(first, rest)
+
+
+#: A table of benchmarks that follows from the line items.
+BENCHMARKS = "SELECT CASE l_linenumber % 4 WHEN 0 THEN 'own_construction' WHEN 1 THEN 'hll_construction' WHEN 2 THEN 'own_cardinality' ELSE 'hll_cardinality' END AS Estimator, l_orderkey AS Items, l_extendedprice * 1e6 AS throughput, l_discount / 1e4 AS seconds FROM lineitem"
+
+
+def _benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("own_construction", "hll_construction", "own_cardinality", "hll_cardinality")])
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.element_at(names, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("Estimator"), F.col("l_orderkey").alias("Items"), (F.col("l_extendedprice") * 1e6).alias("throughput"), (F.col("l_discount") / 1e4).alias("seconds"))
+
+
+@query(f"SELECT 'construction' AS kind, replace(Estimator, '_construction', '') AS series, count(*)::BIGINT AS n, round(max(throughput / 1e9), 6) AS most FROM ({BENCHMARKS}) WHERE Estimator LIKE '%_construction' GROUP BY ALL UNION ALL SELECT 'cardinality', 'own', count(*)::BIGINT, round(max(seconds * 1e6), 6) FROM ({BENCHMARKS}) WHERE Estimator = 'own_cardinality'")
+def benchmark_series(spark, sf_dir):
+    rows = _benchmarks(spark, sf_dir)
+    giga = reports.construction_series(rows).groupBy("series").agg(F.count("*").alias("n"), F.max("giga").alias("most")).withColumn("kind", F.lit("construction"))
+    micros = reports.latency_series(rows, ["own", "absent"]).groupBy("series").agg(F.count("*").alias("n"), F.max("micros").alias("most")).withColumn("kind", F.lit("cardinality"))
+    return rounded(giga.unionByName(micros), 6, "most").select("kind", "series", "n", "most")
+
+
+@query(r"""WITH n AS (SELECT DISTINCT CASE l_linenumber % 5 WHEN 0 THEN 'BloomFixture' || l_suppkey || '/Insert/' || l_quantity::INT || '/x' WHEN 1 THEN '"SetFixture/Query/iterations:10"' WHEN 2 THEN 'Own_' || l_suppkey || '/Insert/64' WHEN 3 THEN 'Fixture3/Insert' ELSE 'plain' END AS name FROM lineitem),
+p AS (SELECT name, string_split(name, '/') AS parts, regexp_extract(trim(split_part(name, '/', 1), '"'), '^(.+?)Fixture\d*$', 1) AS base FROM n)
+SELECT name, regexp_replace(lower(split_part(split_part(name, '/', 1), '_', 1)), 'fixture$', '') AS subject, CASE WHEN len(parts) > 1 AND base <> '' THEN lower(base) END AS base, CASE WHEN len(parts) > 1 AND base <> '' THEN parts[2] END AS operation,
+  CASE WHEN len(parts) > 1 AND base <> '' THEN CASE WHEN regexp_full_match(coalesce(parts[3], ''), '[0-9]+') THEN parts[3]::BIGINT ELSE 0 END ELSE -1 END AS size FROM p""")
+def benchmark_parts(spark, sf_dir):
+    kind, supplier = F.col("l_linenumber") % 5, F.col("l_suppkey").cast("string")
+    name = F.when(kind == 0, F.concat(F.lit("BloomFixture"), supplier, F.lit("/Insert/"), F.col("l_quantity").cast("int").cast("string"), F.lit("/x"))).when(kind == 1, F.lit('"SetFixture/Query/iterations:10"'))
+    name = name.when(kind == 2, F.concat(F.lit("Own_"), supplier, F.lit("/Insert/64"))).when(kind == 3, F.lit("Fixture3/Insert")).otherwise(F.lit("plain"))
+    rows = table(spark, sf_dir, "lineitem").select(name.alias("name")).distinct().withColumn("parts", reports.fixture_parts(F.col("name")))
+    return rows.select("name", reports.subject(F.col("name")).alias("subject"), "parts.base", "parts.operation", F.coalesce("parts.size", F.lit(-1).cast("long")).alias("size"))
+
+
 @query("""SELECT i, ani, wkid FROM (VALUES (1, '99.5', '0.88'), (2, NULL, NULL), (3, '90', '0.1'), (4, NULL, NULL)) t(i, ani, wkid)""")
 def json_ref_extract(spark, sf_dir):
     texts = [(1, 'log line {"query":"q","ref_1":{"ANI":99.5,"WKID":0.88}} tail'), (2, "nothing here"), (3, '{"ref_a":5,"ref_b":{"ANI":90,"WKID":0.1},"ref_c":{"ANI":1,"WKID":2}}'), (4, '{"other":{"ANI":1}}')]

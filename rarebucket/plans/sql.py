@@ -91,8 +91,8 @@ CASE WHEN equal + lower > 0 THEN round(least(1.0, greatest(0.0, (equal + higher)
 
 
 def dna(source: str, ident: str) -> str:
-    """CTE ``dna``: (sketch_id, sequence) of a table with doc_id and text."""
-    return f"dna AS (SELECT {ident} AS sketch_id, string_agg(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY doc_id) AS sequence FROM {source} WHERE text IS NOT NULL GROUP BY 1)"
+    """CTE ``dna``: (sketch_id, sequence) of a table with text, a row per text."""
+    return f"dna AS (SELECT {ident} AS sketch_id, translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM {source} WHERE text IS NOT NULL)"
 
 
 PACK = "list_reduce(list_transform(string_split({x}, ''), lambda z: z::BIGINT), lambda p, q: p * 4 + q)"
