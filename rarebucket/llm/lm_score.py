@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from rarebucket.llm.common import WORD, mixed, reliable, utf8
 from rarebucket.llm.shingles import words
 
-CHUNK, PART = 12 << 20, 4_000_000
+CHUNK, PART = 9 << 20, 3_000_000
 BACKOFF, LEAST, ORDER = 0.4, 2, 3
 #: Bytes of a chunk that are hashed at once.
 PIECE = 1 << 20
 
 
-def squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def released(data: bytes) -> bytes:
@@ -79,7 +79,7 @@ def bundled(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             ids = [x for k, _, _ in held for x in k]
             sizes = np.concatenate([n for _, n, _ in held])
-            body = squeezed(b"".join(b for _, _, b in held))
+            body = squeezed(b"".join(b for _, _, b in held), 6)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["chunk", "ids", "sizes", "texts"])
 
@@ -135,7 +135,7 @@ def asked(grams: list[np.ndarray], at: np.ndarray, parts: int) -> Iterator[tuple
         whole = at >= n - 1
         found, place, count = np.unique(gram[whole], return_inverse=True, return_counts=True)
         bounds = np.searchsorted(found // width, np.arange(parts + 1).astype(np.uint64))
-        where = np.full(len(gram), -1)
+        where = np.full(len(gram), -1, np.int32)
         where[whole] = place
         yield found, count, bounds, where
 
