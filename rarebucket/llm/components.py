@@ -3,7 +3,8 @@
 Partitions first shrink their links to a spanning forest each. Then, until nothing changes,
 large stars (each node hands its larger neighbours to its smallest) and small stars (each node hands its smaller
 neighbours to its smallest) shorten all paths; a logarithmic number of rounds suffices in practice. Minima are
-aggregated before the shuffle, and joins on a hub are plain sort-merge joins, which adaptive execution splits.
+aggregated before the shuffle, and a hub's links meet its smallest neighbour in up to ``SALTS`` tasks, dealt by their other end.
+Links of a node to itself and repeated links change nothing; no links give an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+#: Tasks that the links of one node are dealt to, at most.
+SALTS = 16
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """(u, v, m) per (u, v): m is the smallest v of u."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
+    low = low.select(F.col("u").alias("w"), "m", F.explode("salts").alias("of"))
+    return salted.join(low, (F.col("u") == F.col("w")) & (F.col("salt") == F.col("of"))).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) rows to (node, component): the smallest node reachable, for each node that has a link to another."""
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
@@ -50,14 +64,11 @@ def components(links: DataFrame) -> DataFrame:
 
     was = None
     while True:
-        both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        links = both.filter("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        pairs = down.join(low, F.col("u") == F.col("w")).select("v", "m", F.col("u").alias("own"))
-        links = pairs.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("own").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        links = reliable(links)
+        both = _with_least(links.union(links.select("v", "u")))
+        links = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        down = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        ends = F.array(*[F.struct(F.col(end).alias("u"), F.col("m").alias("v")) for end in ("v", "u")])
+        links = reliable(down.select(F.explode(ends).alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
         forget(start)
         start = links
         now = state(links)
