@@ -80,8 +80,8 @@ def kept_tables() -> int:
     return len(_kept)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``most`` bytes of text (or one row) each.
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``most`` bytes of text (or one row) and ``rows`` rows each.
 
     Spark bounds an Arrow batch in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); array work takes
     many times a text's size, so operators go on in slices, which copy nothing.
@@ -90,7 +90,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 20)
         ends = utf8(batch.column(column))[1]
         a = 0
         while a < len(batch):
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            b = min(a + rows, max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1))
             yield batch.slice(a, b - a)
             a = b
 
