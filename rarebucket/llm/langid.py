@@ -11,7 +11,9 @@ source is added up where it lies. What reaches the driver is ``DIMENSIONS`` numb
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row.
 Equal cosines go to the smaller code in code point order. Repeated rows count as often as they occur. Bytes that
-aren't UTF-8 are no letters. Columns other than id, text and language are not read.
+aren't UTF-8 are no letters. Columns other than id, text and language are not read, whatever their names. An empty table gives an
+empty result; long texts are read whole. More than ``LANGUAGES`` different values of the language column are an error, since
+each text is compared with each.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ UNKNOWN = "und"
 #: standard deviation of 1 / sqrt(DIMENSIONS) = 0.031, four of which are LEAST; in long texts letter noise in a learned
 #: alphabet comes near 0.2, and of held-out texts of sf0.1 one in a thousand lies below 0.176.
 LEAST, LEAST_LONG, LONG = 0.125, 0.22, 200
+#: Languages at most.
+LANGUAGES = 2000
 #: Symbols of a batch up to which trigrams are numbered by a table; beyond, by sorting.
 TABLE = 128
 
@@ -122,7 +126,9 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
             yield out()
 
     parts = training.mapInArrow(run, "lang string, bundle array<long>").select("lang", F.posexplode("bundle").alias("i", "v"))
-    rows = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).toArrow()
+    rows = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).limit(LANGUAGES * dimensions + 1).toArrow()
+    if len(rows) > LANGUAGES * dimensions:
+        raise ValueError(f"the language column has more than {LANGUAGES} different values")
     names = sorted(set(rows["lang"].to_pylist()))
     out = np.zeros((len(names), dimensions))
     number = {n: k for k, n in enumerate(names)}

@@ -12,7 +12,8 @@ Scores are computed for all rows from whole texts.
 
 Null and empty texts have no indicator and get the score of the bias. With labels of one class only, all scores are
 that class; with none, 0.5. Of rows with equal ids one takes part in training, and of conflicting labels the smaller
-counts. Extra columns stay out of the score.
+counts. Repeated rows get equal scores, each its own; a score of exactly the threshold passes. An empty table gives an empty
+result. Extra columns, whatever their names, stay out of the score, and long texts are read whole.
 """
 
 from __future__ import annotations

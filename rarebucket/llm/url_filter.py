@@ -13,6 +13,8 @@ size (``SIGNS`` ^ 4 numbers of 4 bytes, 10 MB), is what executors get, however m
 Labels are the verdicts of the rules. URLs that are null or without ``://`` have an empty host and path, match
 no rule and are judged by the model as they stand (null: as an empty string, score 0). Without labels of both classes every
 URL that no rule matches is allowed. Repeated rows count as often as they occur; an empty table gives an empty result.
+Scores equal to the threshold allow; of thresholds that do equally well the middle one is taken. URLs of any length are read
+whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

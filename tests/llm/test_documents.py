@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on odd cases and on the small test tables."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -149,6 +150,42 @@ def test_language(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
 
 
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.identify(rows)
+
+
+def test_long_texts_in_one_batch(spark):
+    """Many long texts come in batches bounded by bytes, without any session option, and are worked on whole."""
+    texts = [f"{i} " + f"word{i} other " * 150_000 for i in range(24)]  # 2 MB each
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: r for r in media.inspected(media.media_column(docs)).collect()}
+    assert all(got[i].payload_sha256 == hashlib.sha256(media.padded(t.encode())).hexdigest() for i, t in enumerate(texts))
+    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"en"}
+    assert {r.n_words for r in lm_score.scores(docs).collect()} == {300_001}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_equal_rows_spread(spark):
+    """Rows without an id and repeated rows are dealt apart, each with its own place, the same on reruns."""
+    rows = [(None, f"no id {i} here") for i in range(300)] + [(7, "the same row again")] * 300
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    packed = packing.pack_documents(docs, group_docs=50).collect()
+    assert Counter(r.doc_id for r in packed) == {None: 300, 7: 300}
+    groups = Counter((r.doc_id, r.sequence_id >> 32) for r in packed)
+    assert all(sum(1 for d, _ in groups if d == key) > 6 and max(n for (d, _), n in groups.items() if d == key) < 100 for key in (None, 7))
+    assert bag(packing.pack_documents(docs.repartition(3), group_docs=50)) == sorted(map(repr, map(tuple, packed)))
+    mix = mixing.mixed_words(docs).collect()
+    assert len(mix) == 600 and sum(r.taken for r in mix) == math.floor(mix[0].target)
+    places = sorted((r.offset, r["size"]) for r in mix)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))
+    out = Counter(tuple(r) for r in mixing.mixed_documents(docs).select("doc_id", "text").collect())
+    assert sum(len(words(t)) * n for (_, t), n in out.items()) == sum(r.taken for r in mix)
+
+
 def test_unknown_languages_go(spark, sf):
     """Unlearned scripts and letter noise of any length go; learned texts and short clean ones stay."""
     random = np.random.default_rng(3)
@@ -264,8 +301,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack_documents(odd_documents(spark), group_docs=10).collect()
+    rows = packing.pack_documents(odd_documents(spark), group_docs=10, added=True).collect()
     want = Counter()
     for doc_id, text, _, _ in odd_texts():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -284,7 +320,7 @@ def test_packing(spark):
             at += length
         assert at <= 1024
     assert len(sequences) <= -(-sum(r.length for r in rows) // 1024) + 6  # one for each group at most
-    assert bag(packing.pack_documents(odd_documents(spark, 5), group_docs=10)) == sorted(map(repr, map(tuple, rows)))
+    assert bag(packing.pack_documents(odd_documents(spark, 5), group_docs=10, added=True)) == sorted(map(repr, map(tuple, rows)))
 
 
 def test_added_tokens(spark, tmp_path):
