@@ -70,43 +70,50 @@ def from_steps(data: bytes) -> np.ndarray:
 BUNDLE = "chunk long, ids array<long>, sizes array<long>, texts binary"
 
 
+def chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list, np.ndarray, bytes]]:
+    """(chunk, ids, sizes of the texts, texts on end) of a partition of rows (doc_id, text); the same rows give the same chunks."""
+    chunk, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+    def out() -> tuple[int, list, np.ndarray, bytes]:
+        made = chunk, [x for k, _, _ in held for x in k], np.concatenate([n for _, n, _ in held]), b"".join(b for _, _, b in held)
+        held.clear()
+        return made
+
+    for batch in batches:
+        keys, (body, ends) = batch.column(0).to_pylist(), utf8(batch.column(1))
+        a = 0
+        while a < len(keys):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + chunk_bytes - size, "right")) - 1)
+            held.append((keys[a:b], np.diff(ends[a : b + 1]), body[ends[a] : ends[b]].tobytes()))
+            size += int(ends[b] - ends[a])
+            a = b
+            if size >= chunk_bytes or a < len(keys):
+                yield out()
+                size, chunk = 0, chunk + 1
+    if held:
+        yield out()
+
+
 def bundled(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """A row per chunk of rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made, held = TaskContext.get().partitionId() << 24, 0, []
-
-        def out() -> pa.RecordBatch:
-            ids = [x for k, _, _ in held for x in k]
-            sizes = np.concatenate([n for _, n, _ in held])
-            body = squeezed(b"".join(b for _, _, b in held), 6)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["chunk", "ids", "sizes", "texts"])
-
-        size = 0
-        for batch in batches:
-            keys, (body, ends) = batch.column(0).to_pylist(), utf8(batch.column(1))
-            a = 0
-            while a < len(keys):
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + chunk_bytes - size, "right")) - 1)
-                held.append((keys[a:b], np.diff(ends[a : b + 1]), body[ends[a] : ends[b]].tobytes()))
-                size += int(ends[b] - ends[a])
-                a = b
-                if size >= chunk_bytes or a < len(keys):
-                    yield out()
-                    size, made = 0, made + 1
-        if held:
-            yield out()
+        for chunk, ids, sizes, body in chunks(batches, chunk_bytes):
+            columns = pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeezed(body, 6)], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns), names=["chunk", "ids", "sizes", "texts"])
 
     return docs.mapInArrow(run, BUNDLE)
 
 
+def on_end(sizes: np.ndarray, body: bytes) -> pa.Array:
+    """Texts that follow each other in ``body``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)])
+
+
 def texts_of(rows: pa.Table) -> tuple[list, pa.Array]:
     """The ids and texts of a chunk's only row."""
-    sizes = np.array(rows["sizes"][0].values.to_numpy(), np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(released(rows["texts"][0].as_py()))])
-    return rows["ids"][0].values, texts
+    return rows["ids"][0].values, on_end(np.array(rows["sizes"][0].values.to_numpy(), np.int64), released(rows["texts"][0].as_py()))
 
 
 def ngrams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -149,21 +156,19 @@ def settled(docs: DataFrame) -> DataFrame:
     return reliable(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
-def exploded(dealt: DataFrame, parts: int) -> DataFrame:
+def exploded(docs: DataFrame, chunk_bytes: int, parts: int) -> DataFrame:
     """Rows of QUESTION: a chunk's n-grams of one order and partition, with how often each occurs in the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                rows = pa.Table.from_batches([batch.slice(k, 1)])
-                chunk, (grams, _, at) = rows["chunk"][0].as_py(), ngrams(texts_of(rows)[1])
-                for n, (found, count, bounds, _) in enumerate(asked(grams, at, parts), 1):
-                    which = np.flatnonzero(np.diff(bounds)).tolist()
-                    slices = [(bounds[p], bounds[p + 1]) for p in which]
-                    columns = (pa.array([chunk] * len(which), pa.int64()), pa.array([n] * len(which), pa.int32()), pa.array(which, pa.int32()), pa.array([steps(found[a:b]) for a, b in slices], pa.binary()), pa.array([planes(count[a:b]) for a, b in slices], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(list(columns), names=["chunk", "n", "part", "grams", "counts"])
+        for chunk, _, sizes, body in chunks(batches, chunk_bytes):
+            grams, _, at = ngrams(on_end(sizes, body))
+            for n, (found, count, bounds, _) in enumerate(asked(grams, at, parts), 1):
+                which = np.flatnonzero(np.diff(bounds)).tolist()
+                slices = [(bounds[p], bounds[p + 1]) for p in which]
+                columns = (pa.array([chunk] * len(which), pa.int64()), pa.array([n] * len(which), pa.int32()), pa.array(which, pa.int32()), pa.array([steps(found[a:b]) for a, b in slices], pa.binary()), pa.array([planes(count[a:b]) for a, b in slices], pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["chunk", "n", "part", "grams", "counts"])
 
-    return dealt.mapInArrow(run, QUESTION)
+    return docs.mapInArrow(run, QUESTION)
 
 
 def added(rows: pa.Table) -> Iterator[tuple[int, list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -178,27 +183,27 @@ def added(rows: pa.Table) -> Iterator[tuple[int, list[int], list[int], np.ndarra
         yield n, of, [len(h) for h in hashes], found, sums, place
 
 
-def dealt_out(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, part_grams: int) -> tuple[DataFrame, int, int]:
-    """(chunks, words of the corpus, partitions of the count tables)."""
+def counted(docs: DataFrame, doc_id: str, text: str, part_grams: int) -> tuple[DataFrame, int, int]:
+    """(rows of doc_id and text, words of the corpus, partitions of the count tables)."""
     own = settled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     total = own.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    return bundled(own, chunk_bytes), total, max(2, -(-total * ORDER // part_grams))
+    return own, total, max(2, -(-total * ORDER // part_grams))
 
 
 def count_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 1, chunk_bytes: int = CHUNK, part_grams: int = PART) -> DataFrame:
     """(n, gram, count): the n-grams that occur ``least`` times or more, by their hash."""
-    dealt, _, parts = dealt_out(docs, doc_id, text, chunk_bytes, part_grams)
+    own, _, parts = counted(docs, doc_id, text, part_grams)
 
     def add(rows: pa.Table) -> pa.Table:
         out = [pa.table([pa.array([n] * int((sums >= least).sum()), pa.int32()), pa.array(found[sums >= least].view(np.int64)), pa.array(sums[sums >= least])], ["n", "gram", "count"]) for n, _, _, found, sums, _ in added(rows)]
         return pa.concat_tables(out)
 
-    return exploded(dealt, parts).groupBy("part").applyInArrow(add, "n int, gram long, count long")
+    return exploded(own, chunk_bytes, parts).groupBy("part").applyInArrow(add, "n int, gram long, count long")
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, part_grams: int = PART) -> DataFrame:
     """(doc_id, n_words, log_score) per row of ``docs``."""
-    dealt, total, parts = dealt_out(docs, doc_id, text, chunk_bytes, part_grams)
+    own, total, parts = counted(docs, doc_id, text, part_grams)
 
     def add(rows: pa.Table) -> pa.Table:
         answers: list = [None] * len(rows)
@@ -235,5 +240,5 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_by
         sums = np.bincount(row, value, minlength=len(texts)) if len(row) else np.zeros(len(texts))
         return pa.table([ids, pa.array(n_words.astype(np.int64)), pa.array(sums.astype(np.float64))], ["doc_id", "n_words", "log_score"])
 
-    totals = exploded(dealt, parts).groupBy("part").applyInArrow(add, ANSWER)
-    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    totals = exploded(own, chunk_bytes, parts).groupBy("part").applyInArrow(add, ANSWER)
+    return bundled(own, chunk_bytes).groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
