@@ -150,7 +150,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     side = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
     texts = texts.join(side, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark"))).groupBy("node").agg(F.first("text").alias("text"), F.first("salts").alias("salts"))
     texts = texts.select("node", F.explode("salts").alias("salt"), "text")
-    left, right = (texts.select(F.col("node").alias(f"node_{k}"), F.col("salt").alias(f"of_{k}"), F.col("text").alias(f"text_{k}")) for k in "ab")
+    # merged, since even a small table of texts is better not sent through the driver
+    left, right = (texts.select(F.col("node").alias(f"node_{k}"), F.col("salt").alias(f"of_{k}"), F.col("text").alias(f"text_{k}")).hint("merge") for k in "ab")
     both = salted.join(left, (F.col("a") == F.col("node_a")) & (F.col("salt_a") == F.col("of_a"))).join(right, (F.col("b") == F.col("node_b")) & (F.col("salt_b") == F.col("of_b")))
     out = reliable(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long"))
     forget(wanted)
