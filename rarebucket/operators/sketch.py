@@ -82,10 +82,10 @@ def merge_dense(left: DataFrame, right: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sketch:
-    """Sketches of one width, a row per filled bucket in ``rows``. ``ids`` lists the sketches, so that empty ones are kept."""
+    """Sketches of one width, a row per filled bucket in ``rows``. ``ids`` lists the sketches if empty ones are to be kept."""
 
     rows: DataFrame
-    ids: DataFrame
+    ids: DataFrame | None = None
     buckets: int = BUCKETS
     k: int = K
 
@@ -97,20 +97,28 @@ class Sketch:
         if passes is None:
             passes = 2 if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= LARGE else 1
         rows = (registers_in_two_passes if passes == 2 else registers)(df, key, by, buckets)
-        return Sketch(rows, rows.select("sketch_id").distinct() if ids is None else ids.select("sketch_id"), buckets, k)
+        return Sketch(rows, None if ids is None else ids.select("sketch_id"), buckets, k)
+
+    def names(self) -> DataFrame:
+        """(sketch_id) of all sketches; without a list those that have rows, so that results per sketch need no second look at them."""
+        return self.rows.select("sketch_id").distinct() if self.ids is None else self.ids
+
+    def _listed(self, more: DataFrame) -> DataFrame | None:
+        return None if self.ids is None else self.ids.union(more.select("sketch_id")).distinct()
 
     def add(self, df: DataFrame, key: str | Column, by: str | Column | None = None) -> Sketch:
         """The sketch after more keys; as if all had come at once."""
         more = registers(df, key, by, self.buckets)
-        return Sketch(merged(self.rows, more), self.ids.union(more.select("sketch_id")).distinct(), self.buckets, self.k)
+        return Sketch(merged(self.rows, more), self._listed(more), self.buckets, self.k)
 
     def merge(self, other: Sketch) -> Sketch:
         if other.buckets != self.buckets:
             raise ValueError(f"sketches of {self.buckets} and {other.buckets} buckets can't be merged")
-        return Sketch(merged(self.rows, other.rows), self.ids.union(other.ids).distinct(), self.buckets, self.k)
+        ids = None if self.ids is None and other.ids is None else self.names().union(other.names()).distinct()
+        return Sketch(merged(self.rows, other.rows), ids, self.buckets, self.k)
 
     def clear(self) -> Sketch:
-        return Sketch(self.rows.limit(0), self.ids, self.buckets, self.k)
+        return Sketch(self.rows.limit(0), self.names(), self.buckets, self.k)
 
     def winner_counts(self) -> DataFrame:
         """(sketch_id, bucket, count), counts capped at 65,535, filled buckets only."""
@@ -119,11 +127,12 @@ class Sketch:
     def saturation(self) -> DataFrame:
         """(sketch_id, saturated): whether a final winner occurred more often than a register can count."""
         over = self.rows.groupBy("sketch_id").agg(F.max("n").alias("most"))
-        return self.ids.join(over, "sketch_id", "left").select("sketch_id", (F.coalesce("most", F.lit(0)) > R.MOST_COUNT).alias("saturated"))
+        known = over if self.ids is None else self.ids.join(over, "sketch_id", "left")
+        return known.select("sketch_id", (F.coalesce("most", F.lit(0)) > R.MOST_COUNT).alias("saturated"))
 
     def dense(self) -> DataFrame:
         """(sketch_id, bucket, register) for every bucket, packed as winner * 65536 + count, 0 if empty."""
-        every = self.ids.select("sketch_id", F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket"))
+        every = self.names().select("sketch_id", F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket"))
         packed = self.rows.select("sketch_id", "bucket", R.pack(F.col("winner"), F.least("n", F.lit(R.MOST_COUNT))).alias("register"))
         return every.join(packed, ["sketch_id", "bucket"], "left").select("sketch_id", "bucket", F.coalesce("register", F.lit(0)).alias("register"))
 
