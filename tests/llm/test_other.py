@@ -376,8 +376,8 @@ def test_conversations(spark):
     roles = ["user", "assistant", "system", "tool", None, "assistant", "user", "a[b]</s>", "assistant"]
     rows = [(i, k, r, t) for i, shift in enumerate(range(9)) for k, (r, t) in enumerate(zip(roles[shift:] + roles[:shift], odd, strict=True))]
     rows += [(50, 1, "user", "same"), (50, 1, "user", "same"), (51, None, "assistant", "no turn"), *[(52, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(70)]]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x"))
-    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(turns.drop("depth").unionByName(chat.probe(spark)))).collect()}
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("depth", "tree", "message", "start", "open")})
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(turns.unionByName(chat.probe(spark), allowMissingColumns=True))).collect()}
     want = {}
     for conv, turn, role, text in [*rows, (-1, 0, "user", odd[0]), (-1, 1, "assistant", odd[0])]:
         want.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
