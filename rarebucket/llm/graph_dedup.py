@@ -163,8 +163,7 @@ def shards(nodes: DataFrame, reach: float, shard: int) -> DataFrame:
     """Rows of MEMBER for all (place, node, many, vector)."""
     members = nodes.select(F.col("place").alias("shard"), F.lit(0).alias("side"), F.lit(True).alias("home"), "node", "many", "vector")
     done = None
-    for level in range(LEVELS):
-        members = reliable(members)
+    for level in range(LEVELS):  # members are as written by the level before, or nodes
         sizes = reliable(members.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("at_home")))
         large = sizes.filter(F.col("n") > shard).select("shard", "n")
         fits = members.join(sizes.filter((F.col("n") <= shard) & (F.col("at_home") > 0)).select("shard"), "shard", "left_semi")
@@ -313,12 +312,12 @@ COUNT, TREE, PAIR = 0, 1, 2
 def searched(members: DataFrame, lists: DataFrame, bound: float) -> DataFrame:
     """Rows of FOUND: COUNT (node, -, links found at home), TREE (u, v) and PAIR (u < v, how many rows u and v stand for)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
+    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        rows, found = rows.sort_values("node", ignore_index=True), found.sort_values("node", ignore_index=True)
         x, node, many = np.stack(rows["vector"].tolist()), rows["node"].to_numpy(), rows["many"].to_numpy()
         home, side = rows["home"].to_numpy(), rows["side"].to_numpy()
         number = {v: i for i, v in enumerate(node.tolist())}
-        links = table_of([np.array([number[v] for v in one if v in number], np.int64) for one in rows["links"]])
+        links = table_of([np.array([number[v] for v in one if v in number], np.int64) for one in found["links"]])
         medoid = int((x @ x.mean(0)).argmax())
         at_home = np.flatnonzero(home)
         us, vs = [], []
@@ -346,7 +345,7 @@ def searched(members: DataFrame, lists: DataFrame, bound: float) -> DataFrame:
             "u": np.concatenate([node[linked], node[inner], node[one]]), "v": np.concatenate([node[linked], node[label[inner]], node[two]]),
             "n": np.concatenate([count[linked], 0 * inner, many[one]]), "m": np.concatenate([0 * linked, 0 * inner, many[two]])})
 
-    return members.join(lists, ["shard", "node"]).groupBy("shard").applyInPandas(run, FOUND)
+    return members.groupBy("shard").cogroup(lists.groupBy("shard")).applyInPandas(run, FOUND)
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
