@@ -172,9 +172,12 @@ def near_copies(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     # only groups' first members are indexed, and of their shingles those that others have too
     others = reliable(full.select("row").join(members.filter("node = group").select(F.col("node").alias("row")), "row", "left_anti"))
     side = F.broadcast(others) if others.count() <= SMALL_SIDE else others
-    lists = full.join(side, "row", "left_anti").select(F.col("row").alias("group"), F.col("n").cast("int"), F.col("weight").cast("int"), F.posexplode("prefix").alias("at", "token"))
+    lists = full.join(side, "row", "left_anti").select(F.col("row").alias("group"), F.posexplode("prefix").alias("at", "token"))
     again = lists.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
-    lists = reliable(lists.join(again, "token", "left_semi").select("token", "group", "n", "weight", "at"))
+    # most tokens are in one list of one, so what else is known of a group is joined to the rest only
+    lists = lists.join(again, "token", "left_semi")
+    sizes = full.select(F.col("row").alias("of"), F.col("n").cast("int").alias("n"), F.col("weight").cast("int").alias("weight"))
+    lists = reliable(lists.join(sizes, F.col("group") == F.col("of")).select("token", "group", "n", "weight", "at"))
 
     # each list's centre with its others; a minimum is found where rows lie, so a long list needs no task of its own
     centres = lists.groupBy("token").agg(F.min(F.struct(-F.col("weight"), "n", "group")).alias("x")).select("token", F.struct("x.group", "x.n").alias("centre"))
