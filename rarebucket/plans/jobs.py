@@ -156,12 +156,13 @@ def synthetic_metrics(spark: SparkSession, replicates: int, bases: int) -> DataF
     """(identity, replicate, system, ani, wkid) of genomes made with a known identity."""
     from rarebucket.functions.sequences import exploded
 
-    pairs = synthetic.genomes(spark, list(LEVELS), replicates, bases)
     point = F.concat_ws("/", F.col("identity").cast("string"), F.col("replicate").cast("string"))
-    both = pairs.select(F.concat(point, F.lit("/r")).alias("id"), F.col("reference").alias("s")).union(pairs.select(F.concat(point, F.lit("/q")).alias("id"), F.col("query").alias("s")))
-    rows = exploded(both, "s", S.K, "id")
-    wanted = pairs.select(F.concat(point, F.lit("/q")).alias("left_id"), F.concat(point, F.lit("/r")).alias("right_id"))
-    found = C.with_metrics(C.compare(S.winners(rows, "kmer", "id"), wanted, S.BUCKETS), S.K)
+    # both genomes of a pair come from one chain of numbers, so that each chain is made once
+    sides = F.array(F.struct(F.concat(point, F.lit("/r")).alias("id"), F.col("reference").alias("s")), F.struct(F.concat(point, F.lit("/q")).alias("id"), F.col("query").alias("s")))
+    both = synthetic.genomes(spark, list(LEVELS), replicates, bases).select(F.explode(sides).alias("x")).select("x.id", "x.s")
+    names = [f"{level}/{r}" for level in LEVELS for r in range(replicates)]
+    wanted = spark.createDataFrame([(f"{n}/q", f"{n}/r") for n in names], "left_id string, right_id string")
+    found = C.with_metrics(C.compare(S.winners(exploded(both, "s", S.K, "id"), "kmer", "id"), wanted, S.BUCKETS), S.K)
     part = F.split("left_id", "/")
     return found.select(part[0].cast("double").alias("identity"), part[1].cast("int").alias("replicate"), F.lit("own").alias("system"), "ani", "wkid")
 
