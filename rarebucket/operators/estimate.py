@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarebucket.functions import registers as R
@@ -43,17 +43,21 @@ def mean_m(buckets: Column, filled: Column, restored: Column) -> Column:
     return F.when((filled > 0) & (restored > 0), buckets * filled * RANGE / restored).otherwise(0.0)
 
 
-def sums(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sketch_id, filled, restored) with a row per id, empty sketches included."""
+def _listed(found: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Rows of ``found`` per sketch, with a row per id if ids are given. Without, ``found`` is all there is and needs no second look at the registers."""
+    return found if ids is None else ids.select("sketch_id").join(found, "sketch_id", "left")
+
+
+def sums(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(sketch_id, filled, restored); with ids a row per id, empty sketches included."""
     found = rows.groupBy("sketch_id").agg(F.count("*").alias("f"), F.sum(R.restore(F.col("winner"))).alias("r"))
-    return ids.select("sketch_id").join(found, "sketch_id", "left").select("sketch_id", F.coalesce("f", F.lit(0)).alias("filled"), F.coalesce(F.col("r").cast("double"), F.lit(0.0)).alias("restored"))
+    return _listed(found, ids).select("sketch_id", F.coalesce("f", F.lit(0)).alias("filled"), F.coalesce(F.col("r").cast("double"), F.lit(0.0)).alias("restored"))
 
 
 def cardinality(rows: DataFrame, buckets: int, ids: DataFrame | None = None) -> DataFrame:
     """(sketch_id, empty, cardinality, mean_m)."""
     b, f = F.lit(float(R.checked_buckets(buckets))), F.col("filled").cast("double")
-    found = sums(rows, rows.select("sketch_id").distinct() if ids is None else ids)
-    return found.select("sketch_id", (F.lit(buckets) - F.col("filled")).alias("empty"), minimum_mle(b, f, F.col("restored")).alias("cardinality"), mean_m(b, f, F.col("restored")).alias("mean_m"))
+    return sums(rows, ids).select("sketch_id", (F.lit(buckets) - F.col("filled")).alias("empty"), minimum_mle(b, f, F.col("restored")).alias("cardinality"), mean_m(b, f, F.col("restored")).alias("mean_m"))
 
 
 def zeros_histogram(rows: DataFrame) -> DataFrame:
@@ -61,12 +65,17 @@ def zeros_histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sketch_id", F.shiftright("winner", R.MANTISSA).alias("zeros")).agg(F.count("*").alias("n"))
 
 
-def tiers(rows: DataFrame, buckets: int, ids: DataFrame) -> DataFrame:
-    """(sketch_id, tier, free): at tier t the buckets that would be free if only hashes of t or more zeros counted."""
-    every = sums(rows, ids).select("sketch_id", (F.lit(buckets) - F.col("filled")).alias("empty"), F.explode(F.sequence(F.lit(0), F.lit(TIERS - 1))).alias("tier"))
-    counts = zeros_histogram(rows).withColumnRenamed("zeros", "tier")
-    below = Window.partitionBy("sketch_id").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
-    return every.join(counts, ["sketch_id", "tier"], "left").select("sketch_id", "tier", "empty", (F.col("empty") + F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(below), F.lit(0))).alias("free"))
+def tiers(rows: DataFrame, buckets: int, ids: DataFrame | None = None) -> DataFrame:
+    """(sketch_id, filled, restored, tier, free): at tier t the buckets that would be free if only hashes of t or more zeros counted.
+
+    The registers are read once: all follows from their numbers and sums by leading zeros, 54 rows a sketch at most.
+    """
+    by = rows.groupBy("sketch_id", F.shiftright("winner", R.MANTISSA).alias("zeros")).agg(F.count("*").alias("n"), F.sum(R.restore(F.col("winner"))).alias("r"))
+    found = by.groupBy("sketch_id").agg(F.sum("n").alias("f"), F.sum("r").alias("r"), F.collect_list(F.struct("zeros", "n")).alias("levels"))
+    every = _listed(found, ids).select(
+        "sketch_id", F.coalesce("f", F.lit(0)).alias("filled"), F.coalesce(F.col("r").cast("double"), F.lit(0.0)).alias("restored"), "levels", F.explode(F.sequence(F.lit(0), F.lit(TIERS - 1))).alias("tier"))
+    below = F.aggregate(F.filter("levels", lambda x: x["zeros"] < F.col("tier")), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return every.select("sketch_id", "filled", "restored", "tier", (F.lit(buckets) - F.col("filled") + F.coalesce(below, F.lit(0))).alias("free"))
 
 
 def correction(estimate: Column) -> Column:
@@ -87,7 +96,6 @@ def _blend(low: Column, zone: Column, high: Column, buckets: int) -> Column:
 def hybrid(rows: DataFrame, buckets: int, ids: DataFrame | None = None) -> DataFrame:
     """(sketch_id, lc_hybrid, dlc_hybrid, lc, dlc, mean_m_raw)."""
     b = float(R.checked_buckets(buckets))
-    ids = rows.select("sketch_id").distinct() if ids is None else ids
     least = max(1.0, b * DLC_MIN_FRACTION)
     free, usable = F.col("free").cast("double"), F.col("free").between(least, b - least)
     level = F.ln(F.lit(b) / free)
@@ -95,14 +103,14 @@ def hybrid(rows: DataFrame, buckets: int, ids: DataFrame | None = None) -> DataF
     error = math.sqrt(2 / math.pi) * F.sqrt((b - free) / (b * free)) / level
     weight = F.when(usable, F.pow(1 / error, F.lit(DLC_POWER)))
     per = tiers(rows, buckets, ids).groupBy("sketch_id").agg(
-        F.max("empty").cast("double").alias("empty"),
+        F.max("filled").alias("filled"), F.max("restored").alias("restored"), (F.lit(b) - F.max("filled")).alias("empty"),
         F.min(F.when(F.col("free") > 0, F.struct("tier", guess.alias("v")))).alias("first"),
         F.sum(weight).alias("w"), F.sum(weight * F.when(usable, F.ln(guess))).alias("wl"))
     lc = F.coalesce(F.col("first.v"), F.lit(0.0))
     pure = F.exp(F.col("wl") / F.col("w"))
     t = (F.col("empty") - DLC_BLEND_LOW * b) / ((DLC_BLEND_HIGH - DLC_BLEND_LOW) * b)
     dlc = F.when(F.col("w").isNull() | (F.col("w") == 0) | (F.col("empty") >= DLC_BLEND_HIGH * b), F.col("lc")).when(F.col("empty") > DLC_BLEND_LOW * b, t * F.col("lc") + (1 - t) * pure).otherwise(pure)
-    found = per.withColumn("lc", lc).withColumn("dlc", dlc).join(sums(rows, ids), "sketch_id")
+    found = per.withColumn("lc", lc).withColumn("dlc", dlc)
     f, s = F.col("filled").cast("double"), F.col("restored")
     raw = F.when((f > 0) & (s > 0), RANGE / (s / f) * f * ((f + b) / (2 * b))).otherwise(0.0)
     found = found.withColumn("mean_m_raw", raw).withColumn("corrected", F.col("mean_m_raw") * correction(F.col("dlc")))
