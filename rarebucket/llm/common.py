@@ -100,6 +100,13 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def numbered(rows: DataFrame, many: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """Each row ``many`` times, with ``name`` from 0; in blocks, so that no array is long however often a row occurs."""
+    out = rows.withColumn(f"{name}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(many) - 1) / block).cast("long"))))
+    first = F.col(f"{name}_block") * block
+    return out.withColumn(name, F.explode(F.sequence(first, F.least(F.col(many), first + block) - 1))).drop(f"{name}_block")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column on end, and the n + 1 offsets into them; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

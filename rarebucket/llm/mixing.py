@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import WORD, reliable
+from rarebucket.llm.common import WORD, numbered, reliable
 
 #: Tasks that the lines of one set of equal rows are dealt to, at most.
 SALTS = 32
@@ -102,7 +102,7 @@ def mixed_words(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), total: floa
     inside = Window.partitionBy("source", "bucket").orderBy("deal", "doc_id", "size", *[f"kept_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("inside", F.coalesce(F.sum("all_size").over(inside), F.lit(0)))
     placed = placed.alias("d").join(sums.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket")))
-    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1)))
+    placed = numbered(placed, "equal", "nth")
     offset = (F.col("before") + F.col("inside") + F.col("nth") * F.col("size")).alias("offset")
     placed = placed.select("doc_id", "size", "d.source", "source_size", "rank", "target", offset, "deal", "equal", "nth", *[f"kept_{c}" for c in keep])
     words = F.floor("target")

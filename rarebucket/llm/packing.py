@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebucket.llm.common import pieces
+from rarebucket.llm.common import numbered, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -119,7 +119,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
 
     known = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # equal pieces are counted, which the tasks do for what they read, and then numbered; which is which doesn't matter
-    dealt = pieces.groupBy(*known).agg(F.count("*").alias("equal")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    dealt = numbered(pieces.groupBy(*known).agg(F.count("*").alias("equal")), "equal", "nth")
     dealt = dealt.withColumn("deal", F.xxhash64(*known, "nth")).withColumn("group", F.pmod("deal", F.lit(groups))).drop("equal", "nth")
     return dealt.groupBy("group").applyInPandas(run, PACKED)
 

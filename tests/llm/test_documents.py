@@ -11,7 +11,7 @@ from helpers import bag, brute_components, no_documents, odd_documents, odd_text
 from pyspark.sql import functions as F
 from tables import duck, same_rows
 
-from rarebucket.llm import jaccard_join, langid, lm_score, media, mixing, nbsvm, packing, queries
+from rarebucket.llm import common, jaccard_join, langid, lm_score, media, mixing, nbsvm, packing, queries
 
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
@@ -169,6 +169,12 @@ def test_long_texts_in_one_batch(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_numbered(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 7), ("c", 8), ("d", 20)], "k string, many long")
+    got = sorted(map(tuple, common.numbered(rows, "many", "nth", block=4).select("k", "nth").collect()))
+    assert got == [(k, i) for k, n in (("a", 1), ("b", 7), ("c", 8), ("d", 20)) for i in range(n)]
+
+
 def test_equal_rows_spread(spark):
     """Rows without an id and repeated rows are dealt apart, each with its own place, the same on reruns."""
     rows = [(None, f"no id {i} here") for i in range(300)] + [(7, "the same row again")] * 300
