@@ -3,7 +3,8 @@
 Partitions first shrink their links to a spanning forest each. Then, until nothing changes,
 large stars (each node hands its larger neighbours to its smallest) and small stars (each node hands its smaller
 neighbours to its smallest) shorten all paths; a logarithmic number of rounds suffices in practice. Minima are
-aggregated before the shuffle, and a hub's links meet its smallest neighbour in up to ``SALTS`` tasks, dealt by their other end.
+aggregated before the shuffle, and with ``salts`` a hub's links meet its smallest neighbour in so many tasks, dealt by their other end;
+without, adaptive execution splits a long list of links.
 Links of a node to itself and repeated links change nothing; no links give an empty result.
 """
 
@@ -41,18 +42,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-#: Tasks that the links of one node are dealt to.
-SALTS = 8
-
-
-def _with_least(links: DataFrame) -> DataFrame:
-    """(u, v, m) per (u, v): m is the smallest v of u. The sides meet by sorting, so no table of nodes goes through the driver."""
-    low = links.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+def _with_least(links: DataFrame, salts: int) -> DataFrame:
+    """(u, v, m) per (u, v): m is the smallest v of u."""
+    low = links.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    if salts < 2:
+        return links.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
+    low = low.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
     return salted.join(low.hint("merge"), (F.col("u") == F.col("w")) & (F.col("salt") == F.col("of"))).select("u", "v", "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, salts: int = 1) -> DataFrame:
     """(u, v) rows to (node, component): the smallest node reachable, for each node that has a link to another."""
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     links = start = reliable(links.mapInArrow(_forest, "u long, v long"))
@@ -62,9 +62,9 @@ def components(links: DataFrame) -> DataFrame:
 
     was = None
     while True:
-        both = _with_least(links.union(links.select("v", "u")))
+        both = _with_least(links.union(links.select("v", "u")), salts)
         links = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
-        down = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        down = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), salts)
         ends = F.array(*[F.struct(F.col(end).alias("u"), F.col("m").alias("v")) for end in ("v", "u")])
         links = reliable(down.select(F.explode(ends).alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
         forget(start)

@@ -43,6 +43,8 @@ DEALT, JUDGES, AUDITED, RECALL = 8192, 64, 200, 0.9
 NEAREST, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 24
 #: How far below the bound a node may be for the search to go on from it.
 SLACK = 0.01
+#: Tasks that the links of one node are dealt to.
+SALTS = 8
 #: Splits in a row before the rest is dealt by hash.
 LEVELS = 16
 #: The share of the judging queries' links that a split may part.
@@ -380,7 +382,7 @@ def near_vectors(embeddings: DataFrame, bound: float = 0.98, shard: int = SHARD,
     counts = reliable(counts.union(pairs.select("u", "m")).union(pairs.select("v", "n")).groupBy("node").agg(F.sum("n").alias("n")))
     if audited and (share := recall(nodes, counts, bound, audited)) < RECALL:
         raise RuntimeError(f"only {share:.3f} of the links of audited vectors were found")
-    linked = components(found.filter(F.col("kind") != COUNT).select("u", "v"))
+    linked = components(found.filter(F.col("kind") != COUNT).select("u", "v"), SALTS)
     per_node = nodes.join(counts, "node", "left").join(linked, "node", "left").select("place", "vector", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     per_row = clean.join(per_node, ["place", "vector"]).select("row", "n_links", "c")
     out = reliable(rows.select("row", "vec_id").join(per_row, "row", "left").select("row", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("c", -F.col("row") - 1).alias("c")))
