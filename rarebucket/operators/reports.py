@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarebucket.functions.registers import billions, micros, percent, signed_error
+from rarebucket.operators.medians import medians
 
 
 def with_errors(df: DataFrame, estimate: str = "estimate", exact: str = "exact") -> DataFrame:
@@ -21,14 +22,15 @@ def accuracy_summary(df: DataFrame, *by: str) -> DataFrame:
 
 
 def median_throughput(df: DataFrame) -> DataFrame:
-    return df.groupBy("implementation", "count").agg(F.median("adds_per_second").alias("median_adds"))
+    return medians(df, "adds_per_second", "implementation", "count", name="median_adds")
 
 
 def speedup(medians: DataFrame, of: str, over: str) -> DataFrame:
     """(count, speedup) where both implementations have a median."""
-    a = medians.filter(F.col("implementation") == of).select("count", F.col("median_adds").alias("a"))
-    b = medians.filter(F.col("implementation") == over).select("count", F.col("median_adds").alias("b"))
-    return a.join(b, "count").select("count", (F.col("a") / F.col("b")).alias("speedup"))
+    mine = lambda name: F.col("count").isNotNull() & (F.col("implementation") == name)
+    wide = medians.groupBy("count").agg(
+        F.max(F.when(mine(of), F.col("median_adds"))).alias("a"), F.max(F.when(mine(over), F.col("median_adds"))).alias("b"), (F.bool_or(mine(of)) & F.bool_or(mine(over))).alias("both"))
+    return wide.filter("both").select("count", (F.col("a") / F.col("b")).alias("speedup"))
 
 
 def benchmark_base(name: Column) -> Column:
@@ -75,10 +77,11 @@ def measured(df: DataFrame) -> DataFrame:
 def go_gate(df: DataFrame, fast: str, slow: str) -> DataFrame:
     """Medians of two backends over measured runs, and whether the fast one is faster in both and all its runs are ok."""
     rows = measured(df)
-    of = lambda column, backend: F.median(F.when(F.col("backend") == backend, F.col(column)))
-    out = rows.agg(
-        of("total_ms", fast).alias("fast_total"), of("total_ms", slow).alias("slow_total"), of("construction_ms", fast).alias("fast_construction"), of("construction_ms", slow).alias("slow_construction"),
-        F.bool_and(F.when(F.col("backend") == fast, F.col("status") == "ok").otherwise(True)).alias("all_ok"))
+    out = rows.agg(F.bool_and(F.when(F.col("backend") == fast, F.col("status") == "ok").otherwise(True)).alias("all_ok"))
+    for column, name in (("construction_ms", "construction"), ("total_ms", "total")):
+        found = medians(rows.filter(F.col("backend").isin(fast, slow)), column, "backend")
+        of = lambda backend: F.max(F.when(F.col("backend") == backend, F.col("median")))
+        out = found.agg(of(fast).alias(f"fast_{name}"), of(slow).alias(f"slow_{name}")).crossJoin(out)
     go = (F.col("fast_total") < F.col("slow_total")) & (F.col("fast_construction") < F.col("slow_construction")) & F.col("all_ok")
     return out.withColumn("speedup", F.col("slow_total") / F.col("fast_total")).withColumn("go", F.coalesce(go, F.lit(False)))
 
